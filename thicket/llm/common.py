@@ -45,6 +45,7 @@ def prepare(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
         local = (sc.master or "").startswith("local[") or sc.master == "local"
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="thicket-ck-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
@@ -180,3 +181,29 @@ def schema_of(df: DataFrame, *columns: str) -> str:
     """DDL of some columns of a frame."""
     kinds = dict(df.dtypes)
     return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+
+
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with one space after each, and where each word begins (one more entry: the end)."""
+    lens = ends - starts + 1
+    begin = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lens, out=begin[1:])
+    at = np.arange(begin[-1]) + np.repeat(starts - begin[:-1], lens)
+    np.minimum(at, max(len(data) - 1, 0), out=at)
+    out = data[at] if len(at) else np.zeros(0, np.uint8)
+    out[begin[1:] - 1] = 32
+    return out, begin
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the optimiser takes a frame's size to be (file sizes, for a scan)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def with_rest(df: DataFrame, *named: str, rest: str = "rest"):
+    """Carries all columns but ``named`` in one struct, so their names can't clash: (frame's column, names)."""
+    from pyspark.sql import functions as F
+
+    others = [c for c in df.columns if c not in named]
+    packed = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(None).cast("int").alias("none"))
+    return packed.alias(rest), others
