@@ -277,8 +277,7 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     C.prepare(spark)
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    if "Exchange" in whole._jdf.queryExecution().executedPlan().toString():
-        whole = whole.checkpoint()
+    whole = C.rereadable(whole)
     buckets = C.slots(spark)
     asked = whole.mapInArrow(_ask(buckets), "bucket int, block binary, n int, words binary")
     answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(path), "block binary, bucket int, n int, ids binary")

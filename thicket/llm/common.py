@@ -63,6 +63,17 @@ def prepare(spark: SparkSession) -> None:
     sc._thicket_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which the driver and all executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def slots(spark: SparkSession) -> int:
     """Partitions to deal shuffled work to, as the session sets it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -102,17 +113,17 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 # ---------------------------------------------------------------- hashing
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(base: int, length: int) -> np.ndarray:
-    out = np.full(length, np.uint64(base), np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, length: int) -> np.ndarray:
-    """base**0 .. base**(length-1) modulo 2**64."""
-    size = 1 << max(12, int(length - 1).bit_length() if length > 1 else 0)
-    return _powers(int(base), size)[:length]
+    """base**0 .. base**(length-1) modulo 2**64, from one table for each base that grows as needed."""
+    table = _POWERS.get(int(base))
+    if table is None or len(table) < length:
+        table = np.full(max(length, 1 << 16), base, np.uint64)
+        table[0] = 1
+        _POWERS[int(base)] = np.multiply.accumulate(table, out=table)
+    return table[:length]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -200,6 +211,11 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def rereadable(df: DataFrame) -> DataFrame:
+    """The frame itself if it is a plain scan, which gives the same rows each time; else a checkpoint of it."""
+    return df.checkpoint() if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def with_rest(df: DataFrame, *named: str, rest: str = "rest"):
     """Carries all columns but ``named`` in one struct, so their names can't clash: (frame's column, names)."""
     from pyspark.sql import functions as F

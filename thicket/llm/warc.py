@@ -102,12 +102,9 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Archives ``pages`` in the shared checkpoint folder, reads the archive back and removes it: digest_table's columns."""
     spark = pages.sparkSession
     C.prepare(spark)
-    jvm = spark.sparkContext._jvm
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder.rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = f"{C.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     try:
         write(pages, path, min_revisit_bytes)
         return digest_table(spark, path).checkpoint()
     finally:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        C.remove(spark, path)
