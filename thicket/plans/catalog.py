@@ -519,9 +519,10 @@ def coclustered_groups(spark, sf_dir):
 
 @query()
 def diagnosed_units(spark, sf_dir):
-    w = wide(spark, sf_dir).orderBy("vec_id").limit(60)  # a tree of units needs few of them: the limit is the example's own
-    notes = w.select(F.col("vec_id").cast("string").alias("unit_id"), F.col("label").cast("string").alias("label"))
-    return rounded(workflows.diagnose(M.to_long(w, "vec_id", DIMS), notes, ["label"], k=4, nboot=10)[1])
+    """Nations as units (mean balances by segment), and whether their clusters follow the region."""
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("unit_id"), F.col("c_mktsegment").alias("object")).agg(F.avg("c_acctbal").alias("value"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("unit_id"), F.col("n_regionkey").cast("string").alias("region"))
+    return rounded(workflows.diagnose(c, n, ["region"], k=4, nboot=20)[1])
 
 
 @query()
