@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.special import chi2_sf
+from .running import running_sum
 
 _NAMED = "negligible", "weak", "moderate", "strong"
 
@@ -61,9 +62,8 @@ def kruskal(values: DataFrame, group: str, value: str, by: list[str] | None = No
     by = by or []
     tied = values.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x"), F.col(group).alias("g")).agg(F.count("*").cast("double").alias("c"))
     ties = tied.groupBy(*by, "x").agg(F.sum("c").alias("t"))
-    order = Window.partitionBy(*by).orderBy("x")
-    ranked = ties.withColumn("mid", F.sum("t").over(order) - (F.col("t") - 1) / 2)
-    sums = tied.join(ranked, [*by, "x"]).groupBy(*by, "g").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("mid")).alias("s"))
+    ranked = running_sum(ties, by, "x", "t", "upto").withColumn("mid", F.col("upto") - (F.col("t") - 1) / 2)
+    sums = tied.join(ranked.select(*by, "x", "mid"), [*by, "x"]).groupBy(*by, "g").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("mid")).alias("s"))
     h = sums.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"))
     fix = ties.groupBy(*by).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     out = h.join(fix, by) if by else h.crossJoin(fix)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scales import effective_scales
+from ..session import checkpointed
 from . import tree
 
 #: Bytes of a matrix that may be sent to every task; replicates handled together.
@@ -259,7 +260,7 @@ def count_candidates(vectors: DataFrame, labels: list[str], candidates: list[lis
         numbered = vectors.select("unit_id", "values", F.pmod(F.xxhash64("unit_id"), F.lit(parts_n)).cast("int").alias("part"))
         from pyspark.sql import Window
 
-        placed = numbered.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("unit_id")) - 1).select("part", "place", "values").checkpoint()
+        placed = checkpointed(numbered.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("unit_id")) - 1).select("part", "place", "values"))
         found = {row["part"]: row["count"] for row in placed.groupBy("part").count().collect()}
         parts = [found.get(k, 0) for k in range(parts_n)]
         sums = placed.mapInArrow(_by_unit(parts, sizes, nboot, seed, p, (0, total), method), "rep long, sums binary")
