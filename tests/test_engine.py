@@ -388,3 +388,25 @@ def test_fit_branches(spark):
     rows = [("zero", k, 100, 0) for k in range(1, 6)] + [("one", k, 100, 100) for k in range(1, 6)] + [("two", k, 100, 50 * (k > 3)) for k in range(1, 6)]
     out = {r.edge_id: r for r in msfit.fit(spark.createDataFrame([(e, k / 4, n, c) for e, k, n, c in rows], "edge_id string, r double, nboot int, count int")).collect()}
     assert (out["zero"].au, out["one"].au, out["two"].au) == (0, 1, 0) and not out["two"].fitted and out["one"].pchi == 0
+
+
+def test_verbs_end_to_end(spark):
+    from thicket.plans import verbs
+
+    x, group, batch, names, long, notes = _shifted(spark, 60, 5)
+    ready = verbs.prepare(long, notes, "batch", ["grp"], "linear", "zscore", top_variable=4)
+    assert ready.select("object").distinct().count() == 4 and ready.count() == 240
+    assert verbs.guess_technical(notes.columns) == ["batch"] and verbs.batch_report(notes, "batch").count() == 1
+    halves = [long.where("unit_id < 'u030'"), long.where("unit_id >= 'u030'")]
+    vocab = verbs.shared_vocabulary([verbs.vocabulary(h, "x") for h in halves])
+    assert [r.feature for r in vocab.collect()] == names
+    clusters = verbs.catalogue([verbs.sufficient_stats(h) for h in halves])
+    counts = [verbs.count_candidates(h, f"P{k}", clusters, 10) for k, h in enumerate(halves)]
+    assert verbs.federated_support(counts, clusters).count() == 4
+    assert verbs.support_tree(long, 5).edges.count() == 4
+    with pytest.raises(ValueError):
+        verbs.sufficient_stats(long.where("unit_id < 'u010'"))
+    with pytest.raises(ValueError):
+        verbs.prepare(long, shared=vocab, top_variable=2)
+    with pytest.raises(ValueError):
+        verbs.match_profiles(spark.createDataFrame([("P:c1", "P", "f", 1.0)], "profile_id string, project string, feature string, mean double"))

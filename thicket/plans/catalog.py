@@ -18,7 +18,7 @@ from ..operators import adjust, association, blocks, federate, msfit, profiles,
 from ..operators.bootstrap import multiplicity_frame
 from ..sources import exchange
 from ..sources import matrix as M
-from . import support, workflows
+from . import support, verbs, workflows
 
 DIMS = [f"d{k:02d}" for k in range(16)]
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -525,6 +525,24 @@ def diagnosed_units(spark, sf_dir):
     return rounded(workflows.diagnose(c, n, ["region"], k=4, nboot=20)[1])
 
 
+@query()
+def matched_profiles(spark, sf_dir):
+    """Profiles of ten labels, as if from two projects, clustered together over 64 features."""
+    names = [f"e{k:02d}" for k in range(64)]
+    w = wide(spark, sf_dir, 0, names)
+    means = w.groupBy("label").agg(*[F.avg(c).alias(c) for c in names]).unpivot("label", names, "feature", "mean")
+    project = F.concat(F.lit("P"), (F.col("label") % 2).cast("string"))
+    released = means.select(F.concat(project, F.lit(":c"), F.col("label").cast("string")).alias("profile_id"), project.alias("project"), "feature", "mean")
+    return rounded(verbs.match_profiles(released, nboot=50)["replication"])
+
+
+@query()
+def two_way_layout(spark, sf_dir):
+    """Nations by market segments in tree order."""
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("unit_id"), F.col("c_mktsegment").alias("object")).agg(F.avg("c_acctbal").alias("value"))
+    return rounded(verbs.two_way_layout(c))
+
+
 @query()
 def project_payload(spark, sf_dir):
     found = support.support_tree(vectors_of(spark, sf_dir), DIMS, nboot=20)

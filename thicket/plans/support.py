@@ -49,6 +49,7 @@ def support_tree(vectors: DataFrame, labels: list[str], method_dist: str = "corr
         vectors, labels = M.long_to_vectors(M.orient(long, "rows"))
     labels = M.check_labels(labels)
     spark = vectors.sparkSession
+    vectors = vectors.persist()  # read for the tree, the size and the draws
     made = tree_of(vectors, labels, method_dist, method_hclust)
     edges = tree.edges_frame(spark, made, labels)
     sets = tree.member_sets(made, labels)
@@ -56,7 +57,9 @@ def support_tree(vectors: DataFrame, labels: list[str], method_dist: str = "corr
     ids = edges.select("edge_id", (F.col("merge_order") - 1).alias("candidate"))
     counts = counts.join(F.broadcast(ids), "candidate").select("edge_id", "size", "r", "nboot", "count", "skipped")
     fitted = edges.join(msfit.fit(counts), "edge_id")
-    return SupportTree(fitted, counts, made, labels, vectors.count(), {"cluster": cluster, "distance": method_dist, "linkage": method_hclust, "nboot": nboot, "seed": seed})
+    n = vectors.count()
+    vectors.unpersist()
+    return SupportTree(fitted, counts, made, labels, n, {"cluster": cluster, "distance": method_dist, "linkage": method_hclust, "nboot": nboot, "seed": seed})
 
 
 def pick(edges: DataFrame, alpha: float = 0.95, use: str = "au", max_only: bool = True) -> DataFrame:
