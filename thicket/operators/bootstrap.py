@@ -265,7 +265,8 @@ def count_candidates(vectors: DataFrame, labels: list[str], candidates: list[lis
         parts = [found.get(k, 0) for k in range(parts_n)]
         sums = placed.mapInArrow(_by_unit(parts, sizes, nboot, seed, p, (0, total), method), "rep long, sums binary")
         counted = sums.repartition("rep").sortWithinPartitions("rep").mapInArrow(_trees(keys, sizes, nboot, p, method, method_hclust), kind)
-    counts = counted.groupBy("scale_idx", "candidate").agg(F.sum("count").alias("count"))
+    # few rows that took long to make: later reads must not draw again
+    counts = checkpointed(counted.groupBy("scale_idx", "candidate").agg(F.sum("count").alias("count")))
     skipped = counts.where("candidate = -1").select("scale_idx", F.col("count").alias("skipped"))
     scale_rows = spark.createDataFrame([(k, s, e, nboot) for k, (s, e) in enumerate(scales)], "scale_idx int, size int, r double, nboot int")
     grid = spark.range(len(candidates)).select(F.col("id").cast("int").alias("candidate")).crossJoin(scale_rows)
