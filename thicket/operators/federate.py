@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import msfit, stats, tree
 
 
@@ -55,7 +56,7 @@ def federated_support(pooled: DataFrame, catalogue: DataFrame) -> DataFrame:
     spread = cover.agg(F.min("n_projects").alias("lo"), F.max("n_projects").alias("hi")).first()
     if spread["lo"] != spread["hi"]:
         warnings.warn(f"some clusters were measured by {spread['lo']} projects, others by {spread['hi']}", stacklevel=2)
-    fits = msfit.fit(pooled).join(cover, "edge_id")
+    fits = checkpointed(msfit.fit(pooled).join(cover, "edge_id"))  # a row per cluster, read again and again
     return fits.join(catalogue.select("edge_id", "members", "n_members"), "edge_id", "left").orderBy(F.desc("au"), "edge_id")
 
 

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 STATS = ("n_rows", "n", "s", "q", "g")
 METHODS = ("correlation", "abscor", "uncentered", "euclidean", "minkowski")
 REFUSED = ("manhattan", "canberra", "binary", "maximum")
-#: Up to so many objects, the statistics are SQL aggregates of expanded pairs.
-PAIRS_IN_SQL = 8
 
 
 def pairwise_stats(long: DataFrame) -> DataFrame:
@@ -34,8 +32,8 @@ def pairwise_stats(long: DataFrame) -> DataFrame:
     return grid.join(sums, ["obj_i", "obj_j"], "left").crossJoin(rows).select("obj_i", "obj_j", "n_rows", *zero)
 
 
-def _partial_gram(p: int):
-    """One row per task: the four p x p sums of its units, and their number."""
+def _partial_gram(p: int, whole: bool):
+    """One row per task: the four p x p sums of its units (of those with every value, if ``whole``), and their number."""
 
     def run(batches):
         total, rows = np.zeros((4, p, p)), 0
@@ -44,6 +42,8 @@ def _partial_gram(p: int):
                 continue
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, p)
             seen = ~np.isnan(x)
+            if whole:
+                x, seen = x[seen.all(1)], seen[seen.all(1)]
             m, z = seen.astype(np.float64), np.where(seen, x, 0.0)
             total += np.stack([m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z])
             rows += len(x)
@@ -53,21 +53,17 @@ def _partial_gram(p: int):
     return run
 
 
-def gram_stats(vectors: DataFrame, labels: list[str]) -> DataFrame:
+def gram_stats(vectors: DataFrame, labels: list[str], whole: bool = False) -> DataFrame:
     """The same table from the vector form: tasks sum small matrices, then p * p groups add them."""
-    parts = vectors.select("values").mapInArrow(_partial_gram(len(labels)), "i int, j int, n_rows long, n long, s double, q double, g double")
+    parts = vectors.select("values").mapInArrow(_partial_gram(len(labels), whole), "i int, j int, n_rows long, n long, s double, q double, g double")
     names = F.array(*[F.lit(x) for x in labels])
     sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in STATS])
     return sums.select(names[F.col("i")].alias("obj_i"), names[F.col("j")].alias("obj_j"), *STATS)
 
 
-def listwise(vectors: DataFrame) -> DataFrame:
-    """Only the units with every value."""
-    return vectors.where(F.forall("values", lambda x: x.isNotNull()))
-
-
 def listwise_stats(vectors: DataFrame, labels: list[str]) -> DataFrame:
-    return gram_stats(listwise(vectors), labels)
+    """The statistics of the units with every value alone."""
+    return gram_stats(vectors, labels, whole=True)
 
 
 def pool_stats(parts: list[DataFrame]) -> DataFrame:

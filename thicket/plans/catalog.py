@@ -517,10 +517,16 @@ def coclustered_groups(spark, sf_dir):
     return rounded(profiles.cocluster(edges, groups, 50))
 
 
+def _nations(spark, sf_dir):
+    """Nations as units, order priorities as objects: mean totals."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.groupBy(F.col("c_nationkey").cast("string").alias("unit_id"), F.col("o_orderpriority").alias("object")).agg(F.avg("o_totalprice").alias("value"))
+
+
 @query()
 def diagnosed_units(spark, sf_dir):
-    """Nations as units (mean balances by segment), and whether their clusters follow the region."""
-    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("unit_id"), F.col("c_mktsegment").alias("object")).agg(F.avg("c_acctbal").alias("value"))
+    """Whether clusters of nations follow the region."""
+    c = _nations(spark, sf_dir)
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("unit_id"), F.col("n_regionkey").cast("string").alias("region"))
     return rounded(workflows.diagnose(c, n, ["region"], k=4, nboot=20)[1])
 
@@ -538,8 +544,8 @@ def matched_profiles(spark, sf_dir):
 
 @query()
 def two_way_layout(spark, sf_dir):
-    """Nations by market segments in tree order."""
-    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("unit_id"), F.col("c_mktsegment").alias("object")).agg(F.avg("c_acctbal").alias("value"))
+    """Nations by order priorities in tree order."""
+    c = _nations(spark, sf_dir)
     return rounded(verbs.two_way_layout(c))
 
 

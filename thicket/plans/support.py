@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap, msfit, stats, tree
+from ..session import checkpointed
 from ..sources import matrix as M
 
 
@@ -56,7 +57,7 @@ def support_tree(vectors: DataFrame, labels: list[str], method_dist: str = "corr
     counts = bootstrap.count_candidates(vectors, labels, sets, nboot, r, seed, method_dist, method_hclust, cluster_fn)
     ids = edges.select("edge_id", (F.col("merge_order") - 1).alias("candidate"))
     counts = counts.join(F.broadcast(ids), "candidate").select("edge_id", "size", "r", "nboot", "count", "skipped")
-    fitted = edges.join(msfit.fit(counts), "edge_id")
+    fitted = checkpointed(edges.join(msfit.fit(counts), "edge_id"))  # a row per cluster, read again and again
     n = vectors.count()
     vectors.unpersist()
     return SupportTree(fitted, counts, made, labels, n, {"cluster": cluster, "distance": method_dist, "linkage": method_hclust, "nboot": nboot, "seed": seed})
