@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ensure_checkpoint_folder
+
 #: Bytes of text that the kernels take at once (a longer document is taken alone).
 CHUNK_BYTES = 1 << 20
 
@@ -38,17 +40,11 @@ _BYTE_VALUE_LOWER = _BYTE_VALUE[_LOWER]
 
 
 def prepare(spark: SparkSession) -> None:
-    """Give Python workers this package, bounded Arrow batches and a checkpoint folder.
-
-    ``spark.checkpoint.dir`` is used as the cluster sets it.  Where it is unset, a
-    local master gets a temporary folder and a cluster a folder beside its warehouse.
-    """
+    """Give Python workers this package, bounded Arrow batches and a checkpoint folder."""
     sc = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        local = (sc.master or "").startswith("local[") or sc.master == "local"
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="thicket-ck-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    ensure_checkpoint_folder(spark)
     if getattr(sc, "_thicket_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -152,11 +148,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each byte span."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_VALUE_LOWER if lower else _BYTE_VALUE)[data] * powers(_BASE, len(data)), out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * powers(_BASE_INV, len(data))[starts] + (ends - starts).astype(np.uint64))
+    values, out, a = _BYTE_VALUE_LOWER if lower else _BYTE_VALUE, np.zeros(len(starts), np.uint64), 0
+    while a < len(starts):  # in stretches, which bounds the arrays
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK_BYTES, "right")))
+        base = starts[a]
+        part = data[base : ends[b - 1]]
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(values[part] * powers(_BASE, len(part)), out=prefix[1:])
+        lo, hi = starts[a:b] - base, ends[a:b] - base
+        out[a:b] = mix((prefix[hi] - prefix[lo]) * powers(_BASE_INV, max(len(part), 1))[np.minimum(lo, len(part) - 1)] + (hi - lo).astype(np.uint64))
+        a = b
+    return out
 
 
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
@@ -182,12 +184,6 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - count, count) + np.repeat(first, count)
 
 
-def binary_rows(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A large_binary... array of rows from one contiguous array: row i is values[bounds[i]:bounds[i+1]]."""
-    step = values.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((np.asarray(bounds) * step).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
-
-
 def schema_of(df: DataFrame, *columns: str) -> str:
     """DDL of some columns of a frame."""
     kinds = dict(df.dtypes)
@@ -206,9 +202,13 @@ def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return out, begin
 
 
-def input_bytes(df: DataFrame) -> int:
-    """What the optimiser takes a frame's size to be (file sizes, for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text: str = "text") -> int:
+    """A frame's size: that of its files for a scan, else half its text's (as if compressed)."""
+    from pyspark.sql import functions as F
+
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    plain = "FileScan" in df._jdf.queryExecution().executedPlan().toString()
+    return size if plain and size < 1 << 60 else (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 2
 
 
 def rereadable(df: DataFrame) -> DataFrame:

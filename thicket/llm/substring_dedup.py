@@ -1,15 +1,18 @@
 """Removal of word sequences that occur earlier in the corpus.
 
 A window is ``width`` consecutive words.  Consecutive windows whose least word
-gram (their minimiser) is the same travel as one packed string of words to that
-minimiser's bucket; a bucket sorts its windows by a 128-bit hash of their words and
-keeps the earliest occurrence of each.  Windows that repeat within the text a map
-task holds are settled there, so a passage that very many documents share travels
-once per block of text, not once per document.
+gram (their minimiser) is the same are a super-k-mer.  Blocks of text first ask, by
+minimiser hash alone, which of theirs occur more than once; only those travel, each
+super-k-mer as one packed string of words, to the minimiser's bucket.  A bucket sorts
+its windows by a 128-bit hash of their words and keeps the earliest of each.  Windows
+that repeat within a block are settled there, so a passage that very many documents
+share travels once per block, not once per document.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,10 +22,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Text that one block settles by itself, and the packed text gathered before it is sent.
-BLOCK_BYTES, SEND_BYTES = 2 << 20, 12 << 20
+#: Text that one block settles by itself.
+BLOCK_BYTES = 1 << 20
 #: Input bytes for each bucket.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -62,12 +65,14 @@ def _repeats(order_in: np.ndarray, h1: np.ndarray, h2: np.ndarray, owner: np.nda
     return out
 
 
-def _windows(words: np.ndarray, first: np.ndarray, width: int):
+def _windows(words: np.ndarray, first: np.ndarray, width: int, skip: np.ndarray | None = None):
     """Window hashes, the windows that lie in one row, and the row of each."""
     n = max(0, len(words) - width + 1)
     valid = np.zeros(n, bool)
     rows = len(first) - 1
     count = np.maximum(0, np.diff(first) - width + 1)
+    if skip is not None:
+        count[skip] = 0
     at = C.ranges(first[:-1], count)
     valid[at] = True
     row = np.zeros(n, np.int64)
@@ -75,155 +80,227 @@ def _windows(words: np.ndarray, first: np.ndarray, width: int):
     return C.window_hashes(words, width), C.window_hashes(C.mix(words ^ _OTHER), width), valid, row
 
 
-def _places(ids: np.ndarray, keys: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows from the earliest, and a number for each window's place."""
-    order = np.lexsort((pos, keys[row], ids[row]))
-    i, k, p = ids[row][order], keys[row][order], pos[order]
+def _again(h1, h2, valid, row, first_pos, ids, keys) -> np.ndarray:
+    """Which valid windows repeat an earlier one of these.  first_pos: added to a window's number for its place in its document."""
+    at = np.flatnonzero(valid)
+    r = row[at]
+    i, k, p = ids[r], keys[r], at + first_pos[r]
+    order = np.lexsort((p, k, i))
+    a, b, c = i[order], k[order], p[order]
     new = np.ones(len(order), bool)
-    new[1:] = (i[1:] != i[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
     place = np.zeros(len(order), np.int64)
     place[order] = np.cumsum(new)
-    return order, place
+    out = np.zeros(len(valid), bool)
+    out[at] = _repeats(order, h1[at], h2[at], place)
+    return out
+
+
+class _Block:
+    """A block's windows, those settled within it, and its super-k-mers in order of their buckets."""
+
+    def __init__(self, ids: pa.Array, keys: pa.Array, data: np.ndarray, offsets: np.ndarray, width: int, gram: int, buckets: int):
+        self.data, self.width = data, width
+        self.starts, self.ends, self.first = C.word_spans(data, offsets)
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        self.ids, self.keys = ids.fill_null(0).to_numpy(zero_copy_only=False), keys.to_numpy(zero_copy_only=False)
+        words = C.word_hashes(data, self.starts, self.ends)
+        h1, h2, valid, self.row = _windows(words, self.first, width, null)
+        again = _again(h1, h2, valid, self.row, -self.first[:-1], self.ids, self.keys)
+        breaks = np.ones(len(valid), bool)
+        breaks[1:] = self.row[1:] != self.row[:-1]
+        self.settled = _runs(valid & again, breaks) if len(valid) else (np.zeros(0, int), np.zeros(0, int))
+        least = _least_over(C.window_hashes(words, gram), width - gram + 1)[: len(valid)] if len(valid) else np.zeros(0, np.uint64)
+        breaks[1:] |= least[1:] != least[:-1]
+        f, c = _runs(valid & ~again, breaks) if len(valid) else (np.zeros(0, int), np.zeros(0, int))
+        bucket = (least[f] % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        self.at, self.count, self.bucket, self.least = f[by], c[by], bucket[by], least[f][by]
+
+    def each_bucket(self):
+        """(bucket, from, to) over the super-k-mers."""
+        edge = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])) if len(self.bucket) else np.zeros(0, int)
+        yield from zip(self.bucket[edge].tolist(), edge.tolist(), np.append(edge[1:], len(self.bucket)).tolist() if len(edge) else [], strict=True)
+
+
+def _blocks(batches):
+    """(slice of id, tkey, text, .., bytes, offsets, name): the name is a digest of ids and text."""
+    for part, data, offsets in C.chunks(batches, limit=BLOCK_BYTES):
+        name = hashlib.blake2b(data, digest_size=16)
+        name.update(offsets.tobytes())
+        for k in (0, 1):
+            name.update(repr(part.column(k).to_pylist()).encode())
+        yield part, data, offsets, name.digest()
+
+
+def _rows(found: list[tuple], **kinds) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+
+
+def _ask(width: int, gram: int, buckets: int):
+    def run(batches):
+        for part, data, offsets, name in _blocks(batches):
+            block = _Block(part.column(0), part.column(1), data, offsets, width, gram, buckets)
+            found = [(b, name, block.least[lo:hi].tobytes()) for b, lo, hi in block.each_bucket()]
+            yield _rows(found, bucket=pa.int32(), block=pa.binary(), hashes=pa.binary())
+
+    return run
+
+
+def _answer(batches):
+    """Streams rows of one bucket after another; a bucket's hashes are held together."""
+
+    def bucketful(held):
+        hashes = [np.frombuffer(h, np.uint64) for _, _, h in held]
+        flat = np.concatenate(hashes)
+        order = np.argsort(flat, kind="stable")
+        same = flat[order][1:] == flat[order][:-1]
+        more = np.zeros(len(flat), bool)
+        more[order[1:][same]] = True
+        more[order[:-1][same]] = True
+        at = 0
+        for (bucket, block, _), h in zip(held, hashes, strict=True):
+            own = more[at : at + len(h)]
+            at += len(h)
+            if own.any():
+                yield block, bucket, np.packbits(own).tobytes()
+
+    def out(held):
+        rows = list(bucketful(held))
+        return _rows(rows, block=pa.binary(), bucket=pa.int32(), more=pa.binary())
+
+    held = []
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if held and held[0][0] != row[0]:
+                yield out(held)
+                held = []
+            held.append(row)
+    if held:
+        yield out(held)
+
+
+def _squeezed(columns: int):
+    """Blocks as compressed Arrow streams: (block, blob)."""
+
+    def run(batches):
+        for part, _, _, name in _blocks(batches):
+            sink = pa.BufferOutputStream()
+            own = part.select(list(range(columns)))
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(own)
+            yield _rows([(name, sink.getvalue().to_pybytes())], block=pa.binary(), blob=pa.binary())
+
+    return run
+
+
+def _opened(blob: bytes) -> pa.RecordBatch:
+    return next(iter(pa.ipc.open_stream(blob)))
 
 
 def _pack(width: int, gram: int, buckets: int):
-    span = width - gram + 1
-
-    def send(held):
-        targets, blobs = [], []
-        for target, parts in held.items():
-            heads = b"".join(p[0] for p in parts)
-            texts = b"".join(p[1] for p in parts)
-            targets.append(target)
-            blobs.append(zstandard.compress(np.int64(len(heads)).tobytes() + heads + texts, 1))
-        held.clear()
-        n = len(targets)
-        for at in range(0, n, 256):
-            k = len(targets[at : at + 256])
-            zero = pa.array([None] * k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(targets[at : at + 256], pa.int32()), pa.array(blobs[at : at + 256], pa.binary()), zero, zero, zero, zero], names=["bucket", "blob", "id", "tkey", "pos", "count"])
+    """(block, blob, answers) to settled windows and the super-k-mers that may repeat elsewhere."""
 
     def run(batches):
-        held, size = {}, 0
-        for part, data, offsets in C.chunks(batches, limit=BLOCK_BYTES):
-            ids, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
-            starts, ends, first = C.word_spans(data, offsets)
-            if len(starts) < width:
-                continue
-            words = C.word_hashes(data, starts, ends)
-            h1, h2, valid, row = _windows(words, first, width)
-            at = np.flatnonzero(valid)
-            if not len(at):
-                continue
-            pos = at - first[row[at]]
-            order, place = _places(ids, keys, row[at], pos)
-            again = np.zeros(len(valid), bool)
-            again[at] = _repeats(order, h1[at], h2[at], place)
-            other_row = np.ones(len(valid), bool)
-            other_row[1:] = row[1:] != row[:-1]
-            f, c = _runs(valid & again, other_row)
-            if len(f):
-                r = row[f]
-                yield pa.RecordBatch.from_arrays([pa.array(C.mix(ids[r].astype(np.uint64)) % np.uint64(buckets), pa.int32()), pa.array([None] * len(f), pa.binary()), pa.array(ids[r], pa.int64()), pa.array(keys[r], pa.int64()), pa.array(f - first[r], pa.int64()), pa.array(c, pa.int64())], names=["bucket", "blob", "id", "tkey", "pos", "count"])
-            least = _least_over(C.window_hashes(words, gram), span)[: len(valid)]
-            other_row[1:] |= least[1:] != least[:-1]
-            f, c = _runs(valid & ~again, other_row)
-            text, begin = C.spaced(data, starts, ends)
-            bucket = (C.mix(least[f]) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            f, c, bucket = f[by], c[by], bucket[by]
-            r = row[f]
-            lo, hi = begin[f], begin[f + c + width - 1]
-            head = np.stack([ids[r], keys[r], f - first[r], hi - lo], 1).astype(np.int64)
-            whole = text.tobytes()
-            slices = [whole[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-            for a, b in zip(cut, np.append(cut[1:], len(bucket)) if len(cut) else [], strict=True):
-                held.setdefault(int(bucket[a]), []).append((head[a:b].tobytes(), b"".join(slices[a:b])))
-            size += int((hi - lo).sum())
-            if size > SEND_BYTES:
-                yield from send(held)
-                size = 0
-        yield from send(held)
+        for batch in batches:
+            for name, blob, answers in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                part = _opened(blob)
+                data, offsets = C.utf8(part.column(2))
+                block = _Block(part.column(0), part.column(1), data, offsets, width, gram, buckets)
+                out = []
+                f, c = block.settled
+                if len(f):
+                    r = block.row[f]
+                    out.append((0, name, None, np.stack([r, f - block.first[r], c], 1).astype(np.int32).tobytes()))
+                more = {a["bucket"]: a["more"] for a in answers or []}
+                text, begin = C.spaced(data, block.starts, block.ends)
+                text = text.tobytes()
+                for b, lo, hi in block.each_bucket():
+                    if b in more:
+                        own = lo + np.flatnonzero(np.unpackbits(np.frombuffer(more[b], np.uint8), count=hi - lo))
+                        at = block.at[own]
+                        r = block.row[at]
+                        x, y = begin[at], begin[at + block.count[own] + width - 1]
+                        head = np.stack([block.ids[r], block.keys[r], at - block.first[r], y - x, r], 1).astype(np.int64).tobytes()
+                        packed = b"".join([text[a:b] for a, b in zip(x.tolist(), y.tolist(), strict=True)])
+                        out.append((b, name, zstandard.compress(np.int64(len(head)).tobytes() + head + packed, 1), None))
+                yield _rows(out, bucket=pa.int32(), block=pa.binary(), blob=pa.binary(), settled=pa.binary())
 
     return run
 
 
 def _settle(width: int):
-    """Sorted rows of (bucket, blob | id, tkey, pos, count): the windows that repeat earlier ones."""
+    """Rows in order of buckets to (block, covers): covers are (row, first window, windows) of 32-bit integers."""
 
-    def bucketful(blobs):
-        heads, texts = [], []
-        for blob in blobs:
+    def bucketful(held):
+        heads, texts, of = [], [], []
+        for k, (_, blob) in enumerate(held):
             raw = zstandard.decompress(blob)
             n = int(np.frombuffer(raw, np.int64, 1)[0])
-            heads.append(np.frombuffer(raw, np.int64, n // 8, 8).reshape(-1, 4))
+            heads.append(np.frombuffer(raw, np.int64, n // 8, 8).reshape(-1, 5))
             texts.append(np.frombuffer(raw, np.uint8, -1, 8 + n))
-        head, data = np.concatenate(heads), np.concatenate(texts)
+            of.append(np.full(len(heads[-1]), k))
+        head, data, of = np.concatenate(heads), np.concatenate(texts), np.concatenate(of)
         offsets = np.zeros(len(head) + 1, np.int64)
         np.cumsum(head[:, 3], out=offsets[1:])
         starts, ends, first = C.word_spans(data, offsets)
         words = C.word_hashes(data, starts, ends)
         h1, h2, valid, row = _windows(words, first, width)
-        at = np.flatnonzero(valid)
-        ids, keys = head[:, 0].copy(), head[:, 1].copy()
-        pos = head[row[at], 2] + at - first[row[at]]
-        order, place = _places(ids, keys, row[at], pos)
-        again = np.zeros(len(valid), bool)
-        again[at] = _repeats(order, h1[at], h2[at], place)
+        again = _again(h1, h2, valid, row, head[:, 2] - first[:-1], head[:, 0].copy(), head[:, 1].copy())
         breaks = np.ones(len(valid), bool)
         breaks[1:] = row[1:] != row[:-1]
         f, c = _runs(again, breaks)
         r = row[f]
-        return ids[r], keys[r], head[r, 2] + f - first[r], c
-
-    def out(found):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["id", "tkey", "pos", "count"])
+        cover = np.stack([head[r, 4], head[r, 2] + f - first[r], c], 1).astype(np.int32)
+        edge = np.searchsorted(of[r], np.arange(len(held) + 1))
+        return [(held[k][0], cover[a:b].tobytes()) for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if b > a]
 
     def run(batches):
-        now, blobs = None, []
+        now, held = None, []
         for batch in batches:
-            settled = batch.filter(pc.is_null(batch.column(1)))
-            if settled.num_rows:
-                yield settled.select([2, 3, 4, 5])
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            done = []
+            for bucket, block, blob, settled in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if blob is None:
+                    done.append((block, settled))
                     continue
-                if bucket != now and blobs:
-                    yield out(bucketful(blobs))
-                    blobs = []
+                if bucket != now and held:
+                    yield _rows(bucketful(held), block=pa.binary(), covers=pa.binary())
+                    held = []
                 now = bucket
-                blobs.append(blob)
-        if blobs:
-            yield out(bucketful(blobs))
+                held.append((block, blob))
+            yield _rows(done, block=pa.binary(), covers=pa.binary())
+        if held:
+            yield _rows(bucketful(held), block=pa.binary(), covers=pa.binary())
 
     return run
 
 
 def _remove(width: int):
-    def run(batches):
-        for part, data, offsets in C.chunks(batches):
-            starts, ends, first = C.word_spans(data, offsets)
-            covers = part.column(part.schema.get_field_index("covers"))
-            lens = np.diff(covers.offsets.to_numpy()) * covers.is_valid().to_numpy(zero_copy_only=False)
-            flat = covers.flatten()
+    """(blob, covers) to the block's rows with what is left of their texts."""
+
+    def cleared(part, covers):
+        data, offsets = C.utf8(part.column(2))
+        starts, ends, first = C.word_spans(data, offsets)
+        gone = np.zeros(len(starts), bool)
+        if covers:
+            row, pos, count = np.frombuffer(b"".join(covers), np.int32).reshape(-1, 3).astype(np.int64).T
             edge = np.zeros(len(starts) + 1, np.int64)
-            base = np.repeat(first[:-1], lens)
-            pos = flat.field("pos").to_numpy(zero_copy_only=False)
-            np.add.at(edge, base + pos, 1)
-            np.add.at(edge, base + pos + flat.field("count").to_numpy(zero_copy_only=False) + width - 1, -1)
+            np.add.at(edge, first[row] + pos, 1)
+            np.add.at(edge, first[row] + pos + count + width - 1, -1)
             gone = np.cumsum(edge)[:-1] > 0
-            text, begin = C.spaced(data, starts, ends)
-            kept = text[np.repeat(~gone, np.diff(begin))]
-            size = np.zeros(len(starts) + 1, np.int64)
-            np.cumsum(np.where(gone, 0, np.diff(begin)), out=size[1:])
-            kept = kept.tobytes()
-            bounds = size[first]
-            removed = np.zeros(len(starts) + 1, np.int64)
-            np.cumsum(gone, out=removed[1:])
-            texts = [kept[a : max(a, b - 1)].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            names = [n for n in part.schema.names if n != "covers"]
-            yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(np.diff(first), pa.int64()), pa.array(np.diff(removed[first]), pa.int64()), pa.array(texts, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
+        text, begin = C.spaced(data, starts, ends)
+        kept = text[np.repeat(~gone, np.diff(begin))].tobytes()
+        size, removed = np.zeros(len(starts) + 1, np.int64), np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(np.where(gone, 0, np.diff(begin)), out=size[1:])
+        np.cumsum(gone, out=removed[1:])
+        bounds = size[first].tolist()
+        texts = [kept[a : max(a, b - 1)].decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(np.diff(first), pa.int64()), pa.array(np.diff(removed[first]), pa.int64()), pa.array(texts, pa.string())], names=["id", "text", "rest", "n_words", "n_removed", "kept_text"])
+
+    def run(batches):
+        for batch in batches:
+            for blob, covers in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                yield cleared(_opened(blob), covers)
 
     return run
 
@@ -234,22 +311,29 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     A word ``[^\\x20\\x09-\\x0D]+`` goes if a window of ``width`` words that covers it also
     starts earlier: in a document of smaller id, or earlier in the same one.  Windows
     are judged on the input.  Null and empty texts have no words (kept_text is empty).
-    Rows with a null id come back unjudged and untouched (n_removed 0).  A row repeated
-    in full is the same document and doesn't count against itself; different texts
-    under one id are ordered by a hash of the text.  Input columns named like an
-    output column are replaced; an empty table gives an empty result.
+    Rows with a null id come back unjudged (n_removed 0).  A row repeated in full is the
+    same document and doesn't count against itself; different texts under one id are
+    ordered by a hash of the text.  Input columns named like an output column are
+    replaced; an empty table gives an empty result.  The input is read three times and
+    must give the same rows each time; one that is not a plain scan is checkpointed first.
     """
-    C.prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    C.prepare(spark)
     outputs = ("n_words", "n_removed", "kept_text")
     docs = docs.drop(*outputs)
-    rest, others = C.with_rest(docs, id_col, text_col)
-    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"), rest)
-    buckets = max(1, -(-C.input_bytes(docs) // BUCKET_BYTES), C.slots(docs.sparkSession))
-    kind = "bucket int, blob binary, id long, tkey long, pos long, count long"
-    sent = whole.where("id is not null and text is not null").select(F.col("id").cast("long"), "tkey", "text").mapInArrow(_pack(width, gram, buckets), kind)
-    found = sent.repartition(C.slots(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(width), "id long, tkey long, pos long, count long")
-    covers = found.groupBy("id", "tkey").agg(F.collect_list(F.struct("pos", "count")).alias("covers"))
-    joined = whole.alias("w").join(covers.alias("c"), (F.col("w.id").cast("long") == F.col("c.id")) & (F.col("w.tkey") == F.col("c.tkey")), "left").select("w.id", "w.text", "w.rest", "c.covers")
-    ddl = C.schema_of(joined, "id", "text", "rest") + ", n_words long, n_removed long, kept_text string"
-    done = joined.mapInArrow(_remove(width), ddl)
-    return done.select(*[F.col("id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], *outputs)
+    docs = C.rereadable(docs)
+    rest, _ = C.with_rest(docs, id_col, text_col)
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("tkey"), F.col(text_col).alias("text"), rest)
+    buckets, deal = max(-(-C.input_bytes(docs, text_col) // BUCKET_BYTES), C.slots(spark)), C.slots(spark)
+    plain = whole.select("id", "tkey", "text")
+    asked = plain.mapInArrow(_ask(width, gram, buckets), "bucket int, block binary, hashes binary")
+    answers = asked.repartitionById(deal, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "block binary, bucket int, more binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "more")).alias("answers"))
+    blocks = plain.mapInArrow(_squeezed(3), "block binary, blob binary")
+    sent = blocks.join(answers, "block", "left").select("block", "blob", "answers").mapInArrow(_pack(width, gram, buckets), "bucket int, block binary, blob binary, settled binary")
+    found = sent.repartitionById(deal, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(width), "block binary, covers binary")
+    covers = found.groupBy("block").agg(F.collect_list("covers").alias("covers"))
+    ddl = C.schema_of(whole, "id", "text", "rest") + ", n_words long, n_removed long, kept_text string"
+    done = whole.mapInArrow(_squeezed(4), "block binary, blob binary").join(covers, "block", "left").select("blob", "covers").mapInArrow(_remove(width), ddl)
+    return done.select(*[F.col("id").cast(docs.schema[c].dataType).alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], *outputs)
