@@ -280,7 +280,7 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     whole = C.rereadable(whole)
     buckets = C.slots(spark)
     asked = whole.mapInArrow(_ask(buckets), "bucket int, block binary, n int, words binary")
-    answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(path), "block binary, bucket int, n int, ids binary")
+    answers = asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(path), "block binary, bucket int, n int, ids binary")
     gathered = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "ids")).alias("answers"))
     blocks = whole.mapInArrow(_positions(buckets), "block binary, docs array<long>, counts array<int>, n int, positions binary, places binary")
     done = blocks.join(gathered, "block", "left").select("docs", "counts", "n", "positions", "places", "answers").mapInArrow(_assemble(path), "id long, n long, ids binary, decoded binary")
