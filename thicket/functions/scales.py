@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import small_frame
+
 
 def seq_by(start: float, stop: float, by: float) -> list[float]:
     """Evenly spaced numbers, each computed from the start, none past ``stop``."""
@@ -32,4 +34,4 @@ def effective_scales(n: int, r: list[float] | None = None) -> list[tuple[int, fl
 def scales_frame(spark: SparkSession, n: int, r: list[float] | None = None) -> DataFrame:
     """(scale_idx, size, r)."""
     rows = [(k, s, x) for k, (s, x) in enumerate(effective_scales(n, r))]
-    return spark.createDataFrame(rows, "scale_idx int, size int, r double")
+    return small_frame(spark, rows, "scale_idx int, size int, r double")

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.members import edge_id
+from ..session import small_frame
 from ..sources import matrix as M
 from . import tree
 
 
 def cut_blocks(spark, linkage: list[dict], labels: list[str], k: int, prefix: str = "block") -> DataFrame:
     """(object, block)."""
-    return spark.createDataFrame([(o, f"{prefix}{b}") for o, b in tree.cut(linkage, labels, k).items()], "object string, block string")
+    return small_frame(spark, [(o, f"{prefix}{b}") for o, b in tree.cut(linkage, labels, k).items()], "object string, block string")
 
 
 def assess(blocks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def unit_groups(long: DataFrame, blocks: DataFrame, k: int, method_dist: str = "
     scores = unit_scores(long, blocks).select(F.col("block").alias("unit_id"), F.col("unit_id").alias("object"), F.col("score").alias("value"))
     vectors, labels = M.long_to_vectors(scores)
     groups = tree.cut(tree_of(vectors, labels, method_dist, method_hclust), labels, k)
-    return long.sparkSession.createDataFrame(list(groups.items()), "unit_id string, unit_group int")
+    return small_frame(long.sparkSession, list(groups.items()), "unit_id string, unit_group int")
 
 
 def squares(long: DataFrame, blocks: DataFrame, groups: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scales import effective_scales
-from ..session import checkpointed
+from ..session import checkpointed, small_frame
 from . import tree
 
 #: Bytes of a matrix that may be sent to every task; replicates handled together.
@@ -57,7 +57,7 @@ def multiplicity_frame(spark: SparkSession, n: int, sizes: list[int], nboot: int
         x = shake(x * _K1 % _M, 12)
         return shake(x * _K2 % _M, 15)
 
-    scales = spark.createDataFrame(list(enumerate(sizes)), "scale_idx long, size long")
+    scales = small_frame(spark, list(enumerate(sizes)), "scale_idx long, size long")
     reps = scales.crossJoin(spark.range(nboot).withColumnRenamed("id", "rep"))
     key = mix(mix(F.lit(seed * 1000003).cast("long") + F.col("scale_idx") * 7919 + 1) + F.col("rep") * 104729 + 13)
     draws = reps.withColumn("k", key).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
@@ -268,7 +268,7 @@ def count_candidates(vectors: DataFrame, labels: list[str], candidates: list[lis
     # few rows that took long to make: later reads must not draw again
     counts = checkpointed(counted.groupBy("scale_idx", "candidate").agg(F.sum("count").alias("count")))
     skipped = counts.where("candidate = -1").select("scale_idx", F.col("count").alias("skipped"))
-    scale_rows = spark.createDataFrame([(k, s, e, nboot) for k, (s, e) in enumerate(scales)], "scale_idx int, size int, r double, nboot int")
+    scale_rows = small_frame(spark, [(k, s, e, nboot) for k, (s, e) in enumerate(scales)], "scale_idx int, size int, r double, nboot int")
     grid = spark.range(len(candidates)).select(F.col("id").cast("int").alias("candidate")).crossJoin(scale_rows)
     done = grid.join(counts, ["scale_idx", "candidate"], "left").join(skipped, "scale_idx", "left")
     return done.select("candidate", "scale_idx", "size", "r", "nboot", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("skipped", F.lit(0)).alias("skipped"))

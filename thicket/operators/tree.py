@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.members import edge_id_of, within
+from ..session import small_frame
 
 METHODS = {"average": "average", "complete": "complete", "single": "single", "centroid": "centroid", "median": "median", "mcquitty": "mcquitty", "weighted": "mcquitty", "ward.d2": "ward", "ward": "ward"}
 
@@ -106,11 +107,11 @@ def member_sets(tree: list[dict], labels: list[str]) -> list[list[str]]:
 def edges_frame(spark: SparkSession, tree: list[dict], labels: list[str]) -> DataFrame:
     """(edge_id, members, n_members, height, merge_order)."""
     rows = [(edge_id_of(s), s, len(s), m["height"], m["merge_order"]) for m, s in zip(tree, member_sets(tree, labels), strict=True)]
-    return spark.createDataFrame(rows, "edge_id string, members array<string>, n_members int, height double, merge_order int")
+    return small_frame(spark, rows, "edge_id string, members array<string>, n_members int, height double, merge_order int")
 
 
 def linkage_frame(spark: SparkSession, tree: list[dict]) -> DataFrame:
-    return spark.createDataFrame([tuple(m.values()) for m in tree], "merge_order int, left int, right int, height double, size int")
+    return small_frame(spark, [tuple(m.values()) for m in tree], "merge_order int, left int, right int, height double, size int")
 
 
 def leaf_order(tree: list[dict], p: int) -> list[int]:

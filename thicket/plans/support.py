@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap, msfit, stats, tree
-from ..session import checkpointed
+from ..session import checkpointed, small_frame
 from ..sources import matrix as M
 
 
@@ -80,5 +80,5 @@ def count_edges(vectors: DataFrame, labels: list[str], catalogue: DataFrame, **s
     """(edge_id, size, r, n, nboot, count) of supplied clusters (edge_id, members), whether or not this table's tree has them."""
     rows = [(r["edge_id"], list(r["members"])) for r in catalogue.select("edge_id", "members").collect()]  # at most one cluster per object
     counts = bootstrap.count_candidates(vectors, labels, [m for _, m in rows], **settings)
-    ids = vectors.sparkSession.createDataFrame([(k, e) for k, (e, _) in enumerate(rows)], "candidate int, edge_id string")
+    ids = small_frame(vectors.sparkSession, [(k, e) for k, (e, _) in enumerate(rows)], "candidate int, edge_id string")
     return counts.join(F.broadcast(ids), "candidate").select("edge_id", "size", "r", F.lit(vectors.count()).alias("n"), "nboot", "count")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adjust, blocks, federate, profiles, stats, tree
 from ..operators.association import confounding
+from ..session import small_frame
 from ..sources import matrix as M
 from . import support, workflows
 from .support import SupportTree
@@ -100,7 +101,7 @@ def two_way_layout(long: DataFrame, method_dist: str = "euclidean", method_hclus
     def order(table: DataFrame, name: str, place: str) -> DataFrame:
         vectors, labels = M.long_to_vectors(table)
         made = support.tree_of(vectors, labels, method_dist, method_hclust)
-        return spark.createDataFrame([(labels[k], i) for i, k in enumerate(tree.leaf_order(made, len(labels)))], f"{name} string, {place} int")
+        return small_frame(spark, [(labels[k], i) for i, k in enumerate(tree.leaf_order(made, len(labels)))], f"{name} string, {place} int")
 
     return blocks.two_way(long, order(long, "object", "col"), order(M.orient(long, "rows"), "unit_id", "row"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.members import within
 from ..operators import association, msfit, tree
+from ..session import small_frame
 from ..sources import matrix as M
 from . import support
 
@@ -17,7 +18,7 @@ def modules(edges: DataFrame, labels: list[str], alpha: float = 0.95) -> DataFra
     ordered = passing.agg(F.array_sort(F.collect_list(F.struct(F.size("members").alias("n"), (-F.col("au")).alias("k"), "edge_id", "members"))).alias("all"))
     fold = "aggregate(all, slice(all, 1, 0), (t, x) -> if(exists(t, y -> arrays_overlap(x.members, y.members)), t, concat(t, array(x))))"
     taken = ordered.select(F.posexplode(F.expr(fold)).alias("at", "e")).select(F.concat(F.lit("module_"), F.col("at") + 1).alias("module"), F.explode("e.members").alias("object"))
-    alone = edges.sparkSession.createDataFrame([(x,) for x in labels], "object string").join(taken, "object", "left_anti")
+    alone = small_frame(edges.sparkSession, [(x,) for x in labels], "object string").join(taken, "object", "left_anti")
     return taken.unionByName(alone.select(F.col("object").alias("module"), "object"))
 
 
@@ -44,7 +45,7 @@ def apply_back(vectors: DataFrame, labels: list[str], federated: DataFrame, alph
     table = table.withColumn("gain", F.col("au_federated") - F.col("au_local")).orderBy(F.desc("gain"), "edge_id")
     n_local = support.pick(solo.edges, alpha, max_only=False).count()
     parts = tree.cut(solo.linkage, labels, max(2, n_local))
-    cut = spark.createDataFrame(list(parts.items()), "object string, solo int")
+    cut = small_frame(spark, list(parts.items()), "object string, solo int")
     each = usable.where(F.size("members") < len(labels)).select("edge_id", F.size("members").alias("n"), F.explode("members").alias("object"))
     smallest = each.groupBy("object").agg(F.min(F.struct("n", "edge_id"))["edge_id"].alias("fed"))  # the smallest covering cluster
     same = association.contingency(cut.join(smallest, "object"), "solo", "fed").select("adjusted_rand")
@@ -58,7 +59,7 @@ def apply_back(vectors: DataFrame, labels: list[str], federated: DataFrame, alph
 def cluster_labels(result: support.SupportTree, k: int | None = None, alpha: float = 0.95) -> DataFrame:
     """(unit_id, cluster) of a tree: k clusters, or as many as are supported (two at least)."""
     k = k or max(2, support.pick(result.edges, alpha).count())
-    return result.edges.sparkSession.createDataFrame(list(tree.cut(result.linkage, result.labels, k).items()), "unit_id string, cluster int")
+    return small_frame(result.edges.sparkSession, list(tree.cut(result.linkage, result.labels, k).items()), "unit_id string, cluster int")
 
 
 def diagnose(long: DataFrame, annotations: DataFrame, batch_like: list[str], k: int | None = None, nboot: int = 200, **settings) -> tuple[DataFrame, DataFrame, str]:

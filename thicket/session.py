@@ -21,3 +21,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, its lineage cut by a reliable checkpoint."""
     ensure_checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A local table of a few rows: the optimiser sees its values, and no Python task makes them."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(ddl)
+    table = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema=schema)
