@@ -128,6 +128,16 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeated_windows(empty).collect() == []
 
 
+def test_substring_dedup_of_long_texts(spark, tmp_path):
+    """A batch's bytes count the other columns too; blocks must not depend on which columns are read."""
+    word = "array_join(transform(sequence(1, {n}), x -> concat('w', conv(pmod(xxhash64({seed}, x), 1099511627776L), 10, 36))), ' ')"
+    passage, own = word.format(n=30, seed="'p', id div 2"), word.format(n=10_000, seed="id")
+    rows = spark.range(300, numPartitions=1).selectExpr("id doc_id", f"concat({own}, ' ', {passage}) text", "repeat('é', 10000) source")
+    rows.write.parquet(str(tmp_path / "docs"))
+    out = substring_dedup.remove_repeated_windows(spark.read.parquet(str(tmp_path / "docs"))).select("doc_id", "n_words", "n_removed").collect()
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in out} == {k: (10_030, 30 * (k % 2)) for k in range(300)}
+
+
 def test_pretokens_follow_the_pattern():
     import pyarrow as pa
     import regex

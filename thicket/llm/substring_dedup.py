@@ -24,7 +24,7 @@ from . import common as C
 
 #: Text that one block settles by itself.
 BLOCK_BYTES = 1 << 20
-#: Input bytes for each bucket.
+#: Compressed bytes of blocks for each bucket.
 BUCKET_BYTES = 2 << 20
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 
@@ -124,7 +124,7 @@ class _Block:
 
 
 def _blocks(batches):
-    """(slice of id, tkey, text, .., bytes, offsets, name): the name is a digest of ids and text."""
+    """(slice of id, tkey, text, rest, bytes, offsets, name): the name is a digest of ids and text."""
     for part, data, offsets in C.chunks(batches, limit=BLOCK_BYTES):
         name = hashlib.blake2b(data, digest_size=16)
         name.update(offsets.tobytes())
@@ -139,10 +139,13 @@ def _rows(found: list[tuple], **kinds) -> pa.RecordBatch:
 
 def _ask(width: int, gram: int, buckets: int):
     def run(batches):
-        for part, data, offsets, name in _blocks(batches):
-            block = _Block(part.column(0), part.column(1), data, offsets, width, gram, buckets)
-            found = [(b, name, block.least[lo:hi].tobytes()) for b, lo, hi in block.each_bucket()]
-            yield _rows(found, bucket=pa.int32(), block=pa.binary(), hashes=pa.binary())
+        for batch in batches:
+            for name, blob in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                part = _opened(blob)
+                data, offsets = C.utf8(part.column(2))
+                block = _Block(part.column(0), part.column(1), data, offsets, width, gram, buckets)
+                found = [(b, name, block.least[lo:hi].tobytes()) for b, lo, hi in block.each_bucket()]
+                yield _rows(found, bucket=pa.int32(), block=pa.binary(), hashes=pa.binary())
 
     return run
 
@@ -180,21 +183,18 @@ def _answer(batches):
         yield out(held)
 
 
-def _squeezed(columns: int):
+def _squeezed(batches):
     """Blocks as compressed Arrow streams: (block, blob)."""
-
-    def run(batches):
-        for part, _, _, name in _blocks(batches):
-            sink = pa.BufferOutputStream()
-            own = part.select(list(range(columns)))
-            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_batch(own)
-            yield _rows([(name, sink.getvalue().to_pybytes())], block=pa.binary(), blob=pa.binary())
-
-    return run
+    for part, _, _, name in _blocks(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(part)
+        yield _rows([(name, sink.getvalue().to_pybytes())], block=pa.binary(), blob=pa.binary())
 
 
-def _opened(blob: bytes) -> pa.RecordBatch:
+def _opened(blob: bytes | None) -> pa.RecordBatch:
+    if blob is None:
+        raise RuntimeError("answers or removals belong to no block")
     return next(iter(pa.ipc.open_stream(blob)))
 
 
@@ -314,26 +314,24 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Rows with a null id come back unjudged (n_removed 0).  A row repeated in full is the
     same document and doesn't count against itself; different texts under one id are
     ordered by a hash of the text.  Input columns named like an output column are
-    replaced; an empty table gives an empty result.  The input is read three times and
-    must give the same rows each time; one that is not a plain scan is checkpointed first.
+    replaced; an empty table gives an empty result.  The input is read once: it is cut into
+    blocks, which are checkpointed, and all later steps work on these.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     outputs = ("n_words", "n_removed", "kept_text")
     docs = docs.drop(*outputs)
-    docs = C.rereadable(docs)
     rest, _ = C.with_rest(docs, id_col, text_col)
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     whole = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("tkey"), F.col(text_col).alias("text"), rest)
-    buckets, deal = max(-(-C.input_bytes(docs, text_col) // BUCKET_BYTES), C.slots(spark)), C.slots(spark)
-    plain = whole.select("id", "tkey", "text")
-    asked = plain.mapInArrow(_ask(width, gram, buckets), "bucket int, block binary, hashes binary")
+    blocks = whole.mapInArrow(_squeezed, "block binary, blob binary").checkpoint()
+    buckets, deal = max(-(-(blocks.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // BUCKET_BYTES), C.slots(spark)), C.slots(spark)
+    asked = blocks.mapInArrow(_ask(width, gram, buckets), "bucket int, block binary, hashes binary")
     answers = asked.repartitionById(deal, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "block binary, bucket int, more binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "more")).alias("answers"))
-    blocks = plain.mapInArrow(_squeezed(3), "block binary, blob binary")
-    sent = blocks.join(answers, "block", "left").select("block", "blob", "answers").mapInArrow(_pack(width, gram, buckets), "bucket int, block binary, blob binary, settled binary")
+    sent = blocks.join(answers, "block", "full").select("block", "blob", "answers").mapInArrow(_pack(width, gram, buckets), "bucket int, block binary, blob binary, settled binary")
     found = sent.repartitionById(deal, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(width), "block binary, covers binary")
     covers = found.groupBy("block").agg(F.collect_list("covers").alias("covers"))
     ddl = C.schema_of(whole, "id", "text", "rest") + ", n_words long, n_removed long, kept_text string"
-    done = whole.mapInArrow(_squeezed(4), "block binary, blob binary").join(covers, "block", "left").select("blob", "covers").mapInArrow(_remove(width), ddl)
+    done = blocks.join(covers, "block", "full").select("blob", "covers").mapInArrow(_remove(width), ddl)
     return done.select(*[F.col("id").cast(docs.schema[c].dataType).alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], *outputs)
