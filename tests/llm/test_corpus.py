@@ -190,6 +190,20 @@ def test_packing(docs, empty):
     assert packing.pack(empty, P.path("byte_bpe_50k.tiktoken")).collect() == []
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 2 + "x", f" {end}\n\n é{end}'s", "<|endoftext|", f"{end}|>", None, "", f"a  {end}  b <{end}> it{end}'ll", "|endoftext|>"]
+    rng = np.random.default_rng(11)
+    texts += ["".join(rng.choice([end, "ab", " ", "  ", "é", "'s", "1", "<|", "\n"], 60)) for _ in range(100)]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.tiktoken")).collect()
+    ids = [[*own.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert ids[0] == [64, 220, 50256, 275, 0]
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in out} == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)}
+
+
 def _gapless(rows, capacity=2048):
     bins = {}
     for r in rows:

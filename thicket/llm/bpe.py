@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 import sys
 import unicodedata
 
@@ -90,6 +91,23 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(first, row_at)
 
 
+def pretokens_around(data: np.ndarray, offsets: np.ndarray, added: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``pretokens``, with rows first cut at the added tokens' strings (leftmost, the longest), which are one match each."""
+    raw = data.tobytes()
+    if not any(w in raw for w in added):
+        return pretokens(data, offsets)
+    either = re.compile(b"|".join(re.escape(w) for w in sorted(added, key=len, reverse=True)))
+    bounds = offsets.tolist()
+    found = np.array([m.span() for a, b in zip(bounds[:-1], bounds[1:], strict=True) for m in either.finditer(raw, a, b)], np.int64).reshape(-1, 2)
+    starts, ends, _ = pretokens(data, np.unique(np.concatenate([offsets, found.ravel()])))
+    to = np.searchsorted(found[:, 0], starts, "right") - 1
+    inside = (to >= 0) & (starts < found[to, 1])
+    keep = ~inside | (starts == found[to, 0])
+    ends = np.where(inside, found[to, 1], ends)
+    starts, ends = starts[keep], ends[keep]
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 @functools.lru_cache(maxsize=4)
 def encoding(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
@@ -113,14 +131,15 @@ def _remembered(path: str) -> dict:
     return {}
 
 
-def encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of words, one after another, and where each word's begin (one more entry: the end)."""
+def encode_words(words: list[bytes], path: str, added: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words, one after another, and where each word's begin (one more entry: the end).  added: words that are one token each."""
+    own = {w: np.array([i], np.uint32).tobytes() for w, i in (added or {}).items()}
     known, encode = _remembered(path), encoding(path)._core_bpe.encode_single_piece
     if len(known) > KEPT_WORDS:
         known.clear()
     got = []
     for w in words:
-        ids = known.get(w)
+        ids = own.get(w) or known.get(w)
         if ids is None:
             ids = known[w] = np.array(encode(w), np.uint32).tobytes()
         got.append(ids)

@@ -8,6 +8,8 @@ are handled together.  The plan then places each piece by its rank within its le
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 
 import numpy as np
@@ -79,12 +81,21 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 6)
 
 
-def _tokenise(path: str, capacity: int, end_id: int):
+def added_tokens(tokenizer: str) -> dict[bytes, int]:
+    """The added tokens of a tokenizers JSON file: their bytes and ids."""
+    with open(tokenizer, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("added tokens that take in or ask for what is around them are not supported")
+    return {t["content"].encode(): t["id"] for t in tokens}
+
+
+def _tokenise(path: str, capacity: int, end_id: int, added: dict[bytes, int]):
     def run(batches):
         for part, data, offsets in C.chunks(batches, limit=bpe.BLOCK_BYTES):
-            starts, ends, first = bpe.pretokens(data, offsets)
+            starts, ends, first = bpe.pretokens_around(data, offsets, added)
             _, words, back = bpe.distinct(data, starts, ends)
-            ids, begin = bpe.encode_words(words, path)
+            ids, begin = bpe.encode_words(words, path, added)
             size = np.diff(begin)
             flat = ids[C.ranges(begin[:-1][back], size[back])].astype("<u4")
             edge = np.zeros(len(back) + 1, np.int64)
@@ -120,10 +131,12 @@ def _place(rows: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset), a row per piece.
 
     A document is its text's ids (``path``: a tiktoken rank file) and then ``end_id``.
+    Texts are first cut at the added tokens of ``tokenizer`` (a tokenizers JSON file; if not
+    given, that of the rank file's name where there is one), which get their own ids.
     One longer than ``capacity`` is cut into full pieces after a first, shorter one.
     Null and empty texts are the end id alone.  Every row with an id is packed, repeated
     rows too; rows with a null id are left out.  Extra columns are ignored; an empty
@@ -131,8 +144,11 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
     """
     spark = docs.sparkSession
     C.prepare(spark)
+    beside = os.path.splitext(path)[0] + ".json"
+    tokenizer = tokenizer or (beside if os.path.exists(beside) else None)
+    added = added_tokens(tokenizer) if tokenizer else {}
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    pieces = whole.mapInArrow(_tokenise(path, capacity, end_id), "id long, piece int, start long, length long, ids_crc32 long").checkpoint()
+    pieces = whole.mapInArrow(_tokenise(path, capacity, end_id, added), "id long, piece int, start long, length long, ids_crc32 long").checkpoint()
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     dealt = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(4 * C.slots(spark))).cast("int"))
     sizes = dealt.groupBy("length", "salt").count()
