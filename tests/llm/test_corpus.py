@@ -342,6 +342,19 @@ def test_embeddings(spark):
     assert embed_dedup.near_duplicates(none).collect() == []
 
 
+def test_embeddings_of_two_clumps_with_one_link(spark):
+    """The link's ends have 19 nearer vectors each, more than a list holds."""
+    rng = np.random.default_rng(6)
+
+    def at(degrees, apart):
+        y = np.append([np.cos(np.radians(degrees)), np.sin(np.radians(degrees))], apart * rng.normal(size=14))
+        return [float(v) for v in y]
+
+    rows = [(0, at(2.5, 0), 1), (100, at(23.5, 0), 1)] + [(k, at(0, 0.003), 1) for k in range(1, 20)] + [(k, at(26, 0.003), 1) for k in range(101, 120)]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert out == {i: (20 if i in (0, 100) else 19, 0) for i, *_ in rows}
+
+
 @pytest.mark.parametrize("least", [0, 10])
 def test_warc(spark, least):
     rows = [(1, "u1", "<p>é</p>" * 3, 1), (2, "u2", "<p>é</p>" * 3, 2), (3, None, None, 3), (4, "u4", "", 4), (5, "u5", "x", 5), (0, "u0", "x", 6), (None, "n", "y", 7), (6, "u", "<p>é</p>" * 3, 8)]

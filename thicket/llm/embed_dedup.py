@@ -2,10 +2,12 @@
 
 Equal vectors of a label are one node with a multiplicity.  Sorted random projections
 deal nodes into small blocks, whose best pairs start a neighbour graph.  Rounds of
-joins through common neighbours then improve the lists until they settle.  Pairs at or
-above the threshold are links; where lists are full of links they are enlarged to the
-whole group the links connect, in blocks, so every link of a group is counted.  A
-bounded sample audits recall against all vectors, and a miss starts wider rounds.
+joins through common neighbours then improve the lists until they settle.  Every compared
+pair at or above the threshold links, whether or not a list keeps it: a block or join
+gives the stars of its own components.  Vectors whose lists are full of links are compared
+with all of their label, in blocks, since their lists can't show the rest.  The links
+of a group are counted in blocks.  A sample of groups of each size audits recall against
+all vectors; a miss starts wider rounds, and at last a comparison of all pairs.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from .components import components
 
 #: Neighbours in a list, projection trees, rounds at most, vectors in a block.
 NEIGHBOURS, TREES, ROUNDS, BLOCK = 8, 8, 3, 64
-#: Vectors audited at most, recall asked for, attempts (each doubles lists and trees).
-AUDITED, RECALL, ATTEMPTS = 256, 0.995, 3
+#: Vectors audited at most of groups of like size, mean recall of a vector asked for, attempts (each doubles lists and trees).
+AUDITED, RECALL, ATTEMPTS = 128, 0.995, 3
 #: Vectors of a group compared at once.
 GROUP_BLOCK = 256
+#: Vectors of a label that are compared with as many others at once.
+LABEL_BLOCK = 1024
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -67,8 +71,63 @@ def _edges(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]) if found else np.zeros(0, kind), t) for i, (kind, t) in enumerate(((np.int64, pa.int64()), (np.int64, pa.int64()), (np.float64, pa.float64())))], names=["u", "v", "s"])
 
 
-def _in_blocks(k: int):
-    """Sorted rows (tree, label, node, v) to the best pairs of each run of BLOCK rows of a tree and label."""
+def _stars(close: np.ndarray, ids: np.ndarray, others: np.ndarray):
+    """Links between rows and columns as stars of their components: (u, v).  Connects what all links connect."""
+    m, n = close.shape
+    near = np.flatnonzero(close.any(1))
+    close = close[near]
+    at, last = np.arange(len(near)), None
+    while len(near) and (last is None or (at != last).any()):
+        last = at
+        across = np.where(close, at[:, None], m).min(0)
+        at = np.where(close, across[None, :], m).min(1)
+        at = np.minimum(at, at[at])
+    if not len(near):
+        return ids[:0], ids[:0]
+    linked = np.flatnonzero(across < m)
+    u, v = np.concatenate([ids[near], others[linked]]), np.concatenate([ids[near][at], ids[near][across[linked]]])
+    return u[u != v], v[u != v]
+
+
+def _linked(ids: np.ndarray, s: np.ndarray, threshold: float):
+    """Stars of what links rows that are compared with each other, as edges without a similarity."""
+    u, v = _stars(s >= threshold, ids, ids)
+    return u, v, np.full(len(u), np.nan)
+
+
+def _against(threshold: float):
+    """Rows (label, i, j, role, node, v): stars of the links between block i of some nodes and block j of all."""
+
+    def run(batches):
+        for _, parts in _groups(batches, 3):
+            role = np.concatenate([p.column(3).to_numpy() for p in parts])
+            ids = np.concatenate([p.column(4).to_numpy() for p in parts])
+            x = np.concatenate([_units(p.column(5)) for p in parts])
+            u, v = _stars(x[role == 0] @ x[role == 1].T >= threshold, ids[role == 0], ids[role == 1])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def exact_links(some: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): stars of all links of some nodes with all of their label.  some, nodes: node, label, v."""
+    deal = C.slots(nodes.sparkSession)
+
+    def parts(df, name):
+        return df.groupBy("label").agg(F.ceil(F.count("*") / LABEL_BLOCK).cast("int").alias(name))
+
+    def each(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    size = parts(some, "rows").join(parts(nodes, "columns"), "label")
+    left = some.join(size, "label").select("label", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), each("columns").alias("j"), F.lit(0).alias("role"), "node", "v")
+    right = nodes.join(size, "label").select("label", each("rows").alias("i"), F.pmod(F.xxhash64("node"), F.col("columns")).cast("int").alias("j"), F.lit(1).alias("role"), "node", "v")
+    dealt = left.unionByName(right).repartition(deal, "label", "i", "j").sortWithinPartitions("label", "i", "j")
+    return dealt.mapInArrow(_against(threshold), "u long, v long")
+
+
+def _in_blocks(k: int, threshold: float):
+    """Sorted rows (tree, label, node, v) to the best pairs and links of each run of BLOCK rows of a tree and label."""
 
     def solve(keys, ids, x):
         found = []
@@ -77,7 +136,8 @@ def _in_blocks(k: int):
             for at in range(a, b, BLOCK):
                 at = max(a, min(at, b - BLOCK))
                 to = min(b, at + BLOCK)
-                found.append(_best(ids[at:to], x[at:to] @ x[at:to].T, k))
+                s = x[at:to] @ x[at:to].T
+                found += [_linked(ids[at:to], s, threshold), _best(ids[at:to], s, k)]
         return _edges(found)
 
     def run(batches):
@@ -108,8 +168,8 @@ def _groups(batches, keys: int):
         yield key, held
 
 
-def _meet(k: int):
-    """Rows (w, part, node, floor, v) sorted by (w, part): pairs within a group that beat a node's list."""
+def _meet(k: int, threshold: float):
+    """Rows (w, part, node, floor, v) sorted by (w, part): pairs within a group that beat a node's list, and links."""
 
     def run(batches):
         found, size = [], 0
@@ -117,8 +177,9 @@ def _meet(k: int):
             ids = np.concatenate([p.column(2).to_numpy() for p in parts])
             floor = np.concatenate([p.column(3).to_numpy() for p in parts])
             x = np.concatenate([_units(p.column(4)) for p in parts])
-            found.append(_best(ids, x @ x.T, k, floor))
-            size += len(found[-1][0])
+            s = x @ x.T
+            found += [_linked(ids, s, threshold), _best(ids, s, k, floor)]
+            size += len(found[-2][0]) + len(found[-1][0])
             if size > 50_000:
                 yield _edges(found)
                 found, size = [], 0
@@ -167,15 +228,18 @@ def _kept(edges: DataFrame, k: int) -> DataFrame:
     return best.withColumn("n", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))).where(F.col("n") <= k).select("u", "v", "s")
 
 
-def neighbour_graph(nodes: DataFrame, k: int, trees: int, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
-    """(u, v, s): about the k nearest of each node among those of its label.  nodes: node, label, v; checkpointed."""
+def neighbour_graph(nodes: DataFrame, k: int, trees: int, threshold: float, rounds: int = ROUNDS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(u, v, s): about the k nearest of each node among those of its label; (u, v): stars of the links of all
+    compared pairs.  nodes: node, label, v; checkpointed."""
     spark = nodes.sparkSession
     deal, total = C.slots(spark), nodes.count()
     bits = max(0, min(12, int(np.log2(max(1, total / (BLOCK * 40))))))
     fields = dict(nodes.dtypes)
     dealt = nodes.mapInArrow(_deal(trees, bits, seed), f"tree int, label long, code long, along double, node long, v {fields['v']}")
     start = dealt.repartitionByRange(deal, "tree", "label", "code", "along").sortWithinPartitions("tree", "label", "code", "along").select("tree", "label", "node", "v")
-    graph = _kept(start.mapInArrow(_in_blocks(k), "u long, v long, s double"), k).checkpoint()
+    pairs = start.mapInArrow(_in_blocks(k, threshold), "u long, v long, s double").checkpoint()
+    links = pairs.where(F.isnan("s")).select("u", "v")
+    graph = _kept(pairs.where(~F.isnan("s")), k).checkpoint()
     for _ in range(rounds):
         around = graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         degree = around.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -184,13 +248,14 @@ def neighbour_graph(nodes: DataFrame, k: int, trees: int, rounds: int = ROUNDS,
         members = around.join(degree, "u").select(F.col("u").alias("w"), F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.col("v").alias("node"))
         own = degree.select(F.col("u").alias("w"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("u").alias("node"))
         gathered = members.unionByName(own).join(known, "node").select("w", "part", "node", "floor", "v").repartition(deal, "w", "part").sortWithinPartitions("w", "part")
-        better = gathered.mapInArrow(_meet(k), "u long, v long, s double")
-        after = _kept(graph.unionByName(better), k).checkpoint()
+        better = gathered.mapInArrow(_meet(k, threshold), "u long, v long, s double").checkpoint()
+        links = links.unionByName(better.where(F.isnan("s")).select("u", "v"))
+        after = _kept(graph.unionByName(better.where(~F.isnan("s"))), k).checkpoint()
         changed = after.join(graph, ["u", "v"], "left_anti").count()
         graph = after
         if changed <= 0.01 * k * total:
             break
-    return graph
+    return graph, links.distinct()
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -212,22 +277,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     nodes = rows.where("label is not null").groupBy("label", "v").agg(F.min("id").alias("node"), F.count_distinct("id").alias("times"))
     nodes = nodes.select("node", "label", "v", "times").checkpoint()
     plain = nodes.select("node", "label", "v")
-    sample = [tuple(r) for r in nodes.select("node", "label", "v").orderBy(F.xxhash64("node", F.lit(3))).limit(AUDITED).collect()]
-    links, k, trees = None, NEIGHBOURS, TREES
+    links, sample, k, trees = None, None, NEIGHBOURS, TREES
     for attempt in range(ATTEMPTS):
-        graph = neighbour_graph(plain, k, trees, seed=1 + attempt)
-        found = graph.where(F.col("s") >= threshold).select("u", "v")
+        graph, found = neighbour_graph(plain, k, trees, threshold, seed=1 + attempt)
+        full = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("least")).where((F.col("n") >= k) & (F.col("least") >= threshold))
+        found = found.unionByName(exact_links(plain.join(full, plain.node == full.u, "left_semi"), plain, threshold))
         links = (found if links is None else links.unionByName(found)).checkpoint()
         groups = components(links, "u", "v").checkpoint()
+        if sample is None:
+            size = groups.groupBy("component").agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("stratum"))
+            strata = plain.join(groups, "node", "left").join(size, "component", "left").select("node", "label", "v", F.coalesce("stratum", F.lit(0)).alias("stratum"))
+            nth = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64("node", F.lit(3)), "node"))
+            picked = strata.withColumn("nth", nth).where(F.col("nth") <= AUDITED).select("node", "label", "v", "stratum").checkpoint()
+            sample = [(r["node"], r["label"], r["v"]) for r in picked.collect()]  # AUDITED vectors for each power of two at most
         if not sample:
             break
         true = plain.mapInArrow(_audit(sample, threshold), "u long, v long")
         g, h = groups.alias("g"), groups.alias("h")
         told = true.join(g, F.col("u") == F.col("g.node"), "left").join(h, F.col("v") == F.col("h.node"), "left")
-        seen = told.agg(F.count("*").alias("n"), F.count_if(F.col("g.component") == F.col("h.component")).alias("hit")).first()
-        if seen["hit"] >= RECALL * seen["n"]:
+        each = told.groupBy("u").agg(F.avg(F.coalesce(F.col("g.component") == F.col("h.component"), F.lit(False)).cast("int")).alias("recall"))
+        worst = each.join(picked, F.col("u") == F.col("node")).groupBy("stratum").agg(F.avg("recall").alias("recall")).agg(F.min("recall")).first()[0]
+        if worst is None or worst >= RECALL:
             break
         k, trees = 2 * k, 2 * trees
+    else:
+        links = links.unionByName(exact_links(plain, plain, threshold)).checkpoint()
+        groups = components(links, "u", "v").checkpoint()
     size = groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
     placed = groups.join(size, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
