@@ -299,6 +299,17 @@ def test_language(spark, docs, empty):
     assert langid.identify(docs, F.lit(False)).count() == len(_known())
 
 
+def test_a_group_of_copies_does_not_disable_a_language(spark):
+    """Nearly all rows of one language are copies, or near copies, of one text."""
+    long = " ".join(_texts("xx", 20, 7))
+    rows = [(k, long if k % 2 else f"{long} mi{'lo' * (k % 9)}", "xx", "s") for k in range(200)]
+    rows += [(1000 + k, t, "xx", "s") for k, t in enumerate(_texts("xx", 30, 8))] + [(2000 + k, t, "yy", "s") for k, t in enumerate(_texts("yy", 60, 9))]
+    out = langid.identify(spark.createDataFrame(rows, DOCS), F.lit(False)).collect()
+    assert [r.doc_id for r in out if r.lang_pred != ("yy" if r.doc_id >= 2000 else "xx")] == []
+    for texts in ([long] * 96, [long] * 90 + _texts("xx", 6, 8)):
+        assert langid.Model({"xx": texts, "yy": _texts("yy", 60, 9)}).own[0] > 0.05
+
+
 def test_automaton_counts_longest_pieces():
     rng = np.random.default_rng(8)
     sample, text = rng.integers(0, 3, 60), rng.integers(0, 3, 200)

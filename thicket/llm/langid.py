@@ -20,6 +20,8 @@ from . import common as C
 
 #: Symbols of sampled text for each language, documents sampled for each, languages at most.
 SAMPLE_SYMBOLS, SAMPLE_DOCS, MOST_LANGUAGES = 24_000, 96, 128
+#: Symbols of a passage that no two documents of a fit may share.
+PASSAGE = 64
 #: Letters told apart; a text is parsed in stretches of so many symbols.
 LETTERS, STRETCH = 46, 256
 _RESTART = np.int32(1 << 30)
@@ -116,6 +118,17 @@ def pieces(table: np.ndarray, width: int, symbols: np.ndarray, bounds: np.ndarra
     return np.bincount(row[by], count + 1, len(size)).astype(np.int64)
 
 
+def unlike(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """Those of some texts that share no passage of ``PASSAGE`` symbols with one before; a short text counts as a passage."""
+    seen, out = set(), []
+    for x in parts:
+        own = {x.tobytes()} if len(x) < PASSAGE else set(C.window_hashes(C.mix(x.astype(np.uint64) + np.uint64(1)), PASSAGE).tolist())
+        if len(x) and seen.isdisjoint(own):
+            seen |= own
+            out.append(x)
+    return out
+
+
 class Model:
     """Languages, their automata, and the pieces a symbol of their own text needs."""
 
@@ -132,13 +145,17 @@ class Model:
         self.tables, self.own = [], []
         for lang in self.languages:
             symbols, bounds = self.symbols(runs[lang][0]), runs[lang][1]
-            cut = int(bounds[np.searchsorted(bounds, min(sample, int(bounds[-1] * 0.8)), "left")]) if bounds[-1] else 0
-            cut = min(cut, sample)
-            table = automaton(symbols[:cut].tolist(), self.width)
-            rest = symbols[cut : cut + 20 * STRETCH]
-            need = pieces(table, self.width, rest, np.array([0, len(rest)]))[0] / len(rest) if len(rest) > STRETCH else 0.3
+            parts = unlike([symbols[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+            edge = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int64)
+            most = max(0, len(parts) - 1 if len(parts) < 4 else len(parts) // 2)  # the others measure the norm
+            taught = min(int(np.searchsorted(edge, sample, "left")), most) if len(parts) > 1 else len(parts)
+            taught_symbols = np.concatenate([*parts[:taught], np.zeros(0, np.int32)])[:sample]
+            table = automaton(taught_symbols.tolist(), self.width)
+            rest = np.concatenate([*parts[taught:], np.zeros(0, np.int32)]).astype(np.int32)
             self.tables.append(table)
-            self.own.append(need)
+            self.own.append(pieces(table, self.width, rest, edge[taught:] - edge[taught]).sum() / len(rest) if len(rest) > STRETCH else None)
+        known = [x for x in self.own if x]  # a language with too little text to tell takes the mean of the others
+        self.own = [x or (sum(known) / len(known) if known else 0.3) for x in self.own]
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         """0 for a space, a letter's number from 1, the last for other letters."""
@@ -180,8 +197,9 @@ def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     """(id_col, held_out, lang_pred, score) for every row with an id.
 
     held_out: a Column; rows where it is true teach nothing.  Each language learns from
-    at most ``sample_docs`` documents (those of least hash) and ``SAMPLE_SYMBOLS`` of their
-    letters.  A text without letters (null, empty) is ``und`` with score 0, as is every
+    at most ``sample_docs`` distinct texts (those of least hash; the first 4000 characters of
+    each), of which those that share a passage with one before are left out: ``SAMPLE_SYMBOLS``
+    of the letters of the first half at most make the automaton, the rest measure its norm.  A text without letters (null, empty) is ``und`` with score 0, as is every
     text if nothing is labelled.  Ties go to the language first by name.  More than
     ``MOST_LANGUAGES`` labels are an error.  Extra columns are ignored; an empty table
     gives an empty result.
@@ -195,11 +213,13 @@ def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     from pyspark.sql import Window
 
-    h = F.xxhash64("id")
-    near = train.select("lang", "id", h.alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= sample_docs)
+    h = F.xxhash64("text", F.lit(5))
+    texts_of = train.groupBy("lang", h.alias("h")).agg(F.min("id").alias("id"))  # equal texts teach once
+    near = texts_of.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_docs)
     ids = [r["id"] for r in near.select("id").distinct().collect()]  # sample_docs rows a language at most
     texts: dict[str, list] = {lang: [] for lang in langs}
-    for r in train.where(F.col("id").isin(ids)).select("lang", "id", F.substring("text", 1, 4000).alias("text")).dropDuplicates(["lang", "id"]).orderBy(h, "lang").collect() if ids else []:
+    picked = train.where(F.col("id").isin(ids)).select("lang", "id", h.alias("h"), F.substring("text", 1, 4000).alias("text")).join(near.select("lang", "id", "h"), ["lang", "id", "h"], "left_semi") if ids else None
+    for r in picked.dropDuplicates(["lang", "h"]).orderBy("h", "lang").collect() if ids else []:
         texts[r["lang"]].append(r["text"])
     packed = tuple((lang, tuple(texts[lang])) for lang in langs)
     model = spark.sparkContext.broadcast(packed)  # sample_docs * 4000 characters a language at most
