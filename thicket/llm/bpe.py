@@ -3,8 +3,9 @@
 Texts are cut by the tokenizer's pattern with numpy over Unicode classes.  A block of
 text sends the distinct words it holds to buckets by word hash; a bucket encodes each
 word once, whatever the number of blocks that ask; the ids return to the block, where
-the documents' word positions put them in order.  Decoding joins ids to the bytes of
-the token table, which the vocabulary bounds.
+the documents' word positions put them in order.  Words are the same if their bytes are;
+hashes only route them.  Decoding joins ids to the bytes of the token table, which goes to
+every task: a vocabulary is at most ``MOST_VOCABULARY`` bytes.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from . import common as C
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 2 << 20
-#: Words that a worker remembers between blocks.
-KEPT_WORDS = 200_000
+#: Words that a worker remembers between blocks; bytes of input for each bucket of words.
+KEPT_WORDS, BUCKET_BYTES = 200_000, 16 << 20
+#: Bytes that a rank file may have to be sent to every task.
+MOST_VOCABULARY = 64 << 20
 #: Unicode White_Space.
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _LETTER, _NUMBER, _OTHER, _BLANK, _SPACE = range(5)
@@ -108,40 +111,45 @@ def pretokens_around(data: np.ndarray, offsets: np.ndarray, added: dict[bytes, i
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-@functools.lru_cache(maxsize=4)
-def encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+class Vocabulary:
+    """A rank file's merges, its tokens' bytes, and the words encoded lately."""
+
+    def __init__(self, ranks: bytes):
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.encode = tiktoken.Encoding("ranks", pat_str=r"\S+", mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece
+        of = {i: w for w, i in table.items()}
+        parts = [of.get(i, b"") for i in range(max(of) + 1)]
+        self.begin = np.zeros(len(parts) + 1, np.int64)
+        np.cumsum([len(p) for p in parts], out=self.begin[1:])
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+        self.known: dict[bytes, bytes] = {}
 
 
 @functools.lru_cache(maxsize=4)
-def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens' bytes in one array, and where each token's begin (one more entry: the end)."""
-    with open(path, "rb") as f:
-        table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
-    parts = [table.get(i, b"") for i in range(max(table) + 1)]
-    begin = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) for p in parts], out=begin[1:])
-    return np.frombuffer(b"".join(parts), np.uint8), begin
+def vocabulary(ranks: bytes) -> Vocabulary:
+    return Vocabulary(ranks)
 
 
-@functools.lru_cache(maxsize=4)
-def _remembered(path: str) -> dict:
-    return {}
+def read_ranks(path: str) -> bytes:
+    """A rank file, read on the driver alone; tasks get its bytes."""
+    with open(path, "rb") as f:
+        raw = f.read(MOST_VOCABULARY + 1)
+    if len(raw) > MOST_VOCABULARY:
+        raise ValueError(f"{path} is larger than {MOST_VOCABULARY} bytes")
+    return raw
 
 
-def encode_words(words: list[bytes], path: str, added: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode_words(words: list[bytes], own: Vocabulary, added: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of words, one after another, and where each word's begin (one more entry: the end).  added: words that are one token each."""
-    own = {w: np.array([i], np.uint32).tobytes() for w, i in (added or {}).items()}
-    known, encode = _remembered(path), encoding(path)._core_bpe.encode_single_piece
+    apart = {w: np.array([i], np.uint32).tobytes() for w, i in (added or {}).items()}
+    known = own.known
     if len(known) > KEPT_WORDS:
         known.clear()
     got = []
     for w in words:
-        ids = own.get(w) or known.get(w)
+        ids = apart.get(w) or known.get(w)
         if ids is None:
-            ids = known[w] = np.array(encode(w), np.uint32).tobytes()
+            ids = known[w] = np.array(own.encode(w), np.uint32).tobytes()
         got.append(ids)
     begin = np.zeros(len(got) + 1, np.int64)
     np.cumsum([len(x) >> 2 for x in got], out=begin[1:])
@@ -149,13 +157,19 @@ def encode_words(words: list[bytes], path: str, added: dict[bytes, int] | None =
 
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Distinct words from the most frequent: their hashes, their bytes; and each position's number among them."""
-    hashes, where, back, count = np.unique(C.word_hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+    """Distinct words from the most frequent: their hashes, their bytes; and each position's number among them.
+
+    Words of one hash are compared by their bytes; should any differ, all are told apart by their bytes.
+    """
+    hashes = C.word_hashes(data, starts, ends)
+    _, where, back, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    if not C.same_spans(data, starts, ends, starts[where][back], ends[where][back]).all():
+        _, where, back, count = np.unique(C.word_numbers(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
     by = np.argsort(-count, kind="stable")
     rank = np.empty(len(by), np.uint32)
     rank[by] = np.arange(len(by), dtype=np.uint32)
     whole, where = data.tobytes(), where[by]
-    return hashes[by], [whole[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], rank[back]
+    return hashes[where], [whole[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], rank[back]
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -201,8 +215,9 @@ def _ask(buckets: int):
     return run
 
 
-def _answer(path: str):
+def _answer(ranks):
     def run(batches):
+        own = vocabulary(ranks.value)
         now, held = None, {}
         for batch in batches:
             out = []
@@ -214,7 +229,7 @@ def _answer(path: str):
                 ends = (np.cumsum(lens, dtype=np.int64) + 4 * n).tolist()
                 words = [raw[a:b] for a, b in zip([4 * n, *ends[:-1]], ends, strict=True)]
                 new = [w for w in words if w not in held]
-                flat, begin = encode_words(new, path)
+                flat, begin = encode_words(new, own)
                 flat, begin = flat.tobytes(), (begin * 4).tolist()
                 held.update(zip(new, (flat[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)), strict=True))
                 got = [held[w] for w in words]
@@ -240,9 +255,9 @@ def _positions(buckets: int):
     return run
 
 
-def _assemble(path: str):
+def _assemble(ranks):
     def run(batches):
-        table, begin = token_bytes(path)
+        table, begin = vocabulary(ranks.value).bytes, vocabulary(ranks.value).begin
         width = np.diff(begin)
         for batch in batches:
             for block in batch.to_pylist():
@@ -288,19 +303,22 @@ def _assemble(path: str):
 def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids, decoded): ids as little-endian unsigned 32-bit integers, decoded bytes.
 
-    ``path`` is a tiktoken rank file.  Null texts are empty; empty texts have no ids.
-    Every row gives a row (rows with a null id are left out).  The input is read twice
-    and must give the same rows both times; one that is not a plain scan is checkpointed
-    first.  Extra columns are ignored; an empty table gives an empty result.
+    ``path`` is a tiktoken rank file, read on the driver.  Null texts are empty; empty texts
+    have no ids.  Every row gives a row (rows with a null id are left out).  The input is read
+    twice and must give the same rows both times; one that is not a scan with deterministic
+    projections and filters is checkpointed first, and blocks that differ stop the run.  Extra
+    columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
     whole = C.rereadable(whole)
-    buckets = C.slots(spark)
+    ranks = spark.sparkContext.broadcast(read_ranks(path))  # MOST_VOCABULARY bytes at most
+    deal = C.slots(spark)
+    buckets = max(deal, C.input_bytes(whole) // BUCKET_BYTES)  # a bucket's distinct words are held together
     asked = whole.mapInArrow(_ask(buckets), "bucket int, block binary, n int, words binary")
-    answers = asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(path), "block binary, bucket int, n int, ids binary")
+    answers = asked.repartitionById(deal, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(ranks), "block binary, bucket int, n int, ids binary")
     gathered = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "ids")).alias("answers"))
     blocks = whole.mapInArrow(_positions(buckets), "block binary, docs array<long>, counts array<int>, n int, positions binary, places binary")
-    done = blocks.join(gathered, "block", "left").select("docs", "counts", "n", "positions", "places", "answers").mapInArrow(_assemble(path), "id long, n long, ids binary, decoded binary")
+    done = blocks.join(gathered, "block", "left").select("docs", "counts", "n", "positions", "places", "answers").mapInArrow(_assemble(ranks), "id long, n long, ids binary, decoded binary")
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), "ids", "decoded")

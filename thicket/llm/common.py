@@ -1,14 +1,14 @@
 """Shared pieces of the corpus operators: session helpers and byte-level numpy kernels.
 
 The kernels work on the contiguous UTF-8 buffer of an Arrow string column, so a
-batch of documents is tokenised and hashed by a handful of numpy passes.
-Hashes are 64-bit polynomial prefix sums modulo 2**64 over random byte values:
-the hash of any span is a difference of two prefix values.
+batch of documents is tokenised and hashed by a handful of numpy passes.  A word's
+hash mixes its bytes eight at a time; a hash only proposes that words are equal, and
+``same_spans`` compares the bytes wherever a result depends on it.
 """
 
 from __future__ import annotations
 
-import functools
+import hashlib
 import os
 import tempfile
 import zipfile
@@ -23,17 +23,19 @@ from ..session import ensure_checkpoint_folder
 #: Bytes of text that the kernels take at once (a longer document is taken alone).
 CHUNK_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD1342543DE82EF95)
 _STEP_INV = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Longer words are hashed by a digest each.
+LONG_WORD = 512
 
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
-_BYTE_VALUE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
-_BYTE_VALUE_LOWER = _BYTE_VALUE[_LOWER]
+#: Bytes with A-Z lower-cased.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: The low 0 .. 8 bytes of eight.
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 # ---------------------------------------------------------------- session
@@ -146,23 +148,58 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, gaps, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
-    values, out, a = _BYTE_VALUE_LOWER if lower else _BYTE_VALUE, np.zeros(len(starts), np.uint64), 0
-    while a < len(starts):  # in stretches, which bounds the arrays
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK_BYTES, "right")))
-        base = starts[a]
-        part = data[base : ends[b - 1]]
-        prefix = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(values[part] * powers(_BASE, len(part)), out=prefix[1:])
-        lo, hi = starts[a:b] - base, ends[a:b] - base
-        out[a:b] = mix((prefix[hi] - prefix[lo]) * powers(_BASE_INV, max(len(part), 1))[np.minimum(lo, len(part) - 1)] + (hi - lo).astype(np.uint64))
-        a = b
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place of ``data``, the eight bytes from there as an integer (zeros beyond the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span (of A-Z lower-cased, with ``lower``); seeds give independent ones."""
+    if lower:
+        data = LOWER[data]
+    at, size = eights(data), ends - starts
+    out = mix(size.astype(np.uint64) * _ODD + mix(np.array([seed + 1], np.uint64)))
+    own = np.flatnonzero(size <= LONG_WORD)
+    left, k = size[own], 0
+    while len(own):
+        out[own] = mix((out[own] ^ (at[starts[own] + k] & _LOW_BYTES[np.minimum(left, 8)])) * _ODD)
+        more = left > 8
+        own, left, k = own[more], left[more] - 8, k + 8
+    for w in np.flatnonzero(size > LONG_WORD).tolist():
+        out[w] = int.from_bytes(hashlib.blake2b(data[starts[w] : ends[w]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
     return out
 
 
+def same_spans(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Whether the bytes of each span from a equal those of the span from b.  at: ``eights`` of data."""
+    at = eights(data) if at is None else at
+    size = a_end - a
+    out = size == b_end - b
+    own = np.flatnonzero(out & (size <= LONG_WORD) & (a != b))
+    left, k = size[own], 0
+    while len(own):
+        same = (at[a[own] + k] ^ at[b[own] + k]) & _LOW_BYTES[np.minimum(left, 8)] == 0
+        out[own[~same]] = False
+        more = same & (left > 8)
+        own, left, k = own[more], left[more] - 8, k + 8
+    for w in np.flatnonzero(out & (size > LONG_WORD) & (a != b)).tolist():
+        out[w] = np.array_equal(data[a[w] : a_end[w]], data[b[w] : b_end[w]])
+    return out
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span; equal numbers mean equal bytes, and only they."""
+    _, where, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    if same_spans(data, starts, ends, starts[where][back], ends[where][back]).all():
+        return back
+    raw, known = data.tobytes(), {}
+    return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+
+
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` values (len(values) - width + 1 of them)."""
+    """A hash of each run of ``width`` values, themselves hashes (len(values) - width + 1 of them); for short runs."""
     if len(values) < width:
         return np.zeros(0, np.uint64)
     prefix = np.zeros(len(values) + 1, np.uint64)
@@ -211,9 +248,38 @@ def input_bytes(df: DataFrame, text: str = "text") -> int:
     return size if plain and size < 1 << 60 else (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 2
 
 
+def hot_keys(counted: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """(keys, copies): the keys that hold more than a fair share of all rows.
+
+    counted: a row per key with its number of rows.  A share is a quarter of what a
+    partition gets on average, so there are at most four hot keys per shuffle partition:
+    few enough to broadcast, whatever the data.
+    """
+    from pyspark.sql import functions as F
+
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    share = max(1024, total // (4 * slots(counted.sparkSession)))
+    return counted.where(F.col(n) > share).select(*keys, F.ceil(F.col(n) / share).cast("int").alias("copies_"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, by, how: str = "inner") -> DataFrame:
+    """left joined to right (a row per key at most); rows of hot keys are dealt over copies of their row by ``by``."""
+    from pyspark.sql import functions as F
+
+    hot = F.broadcast(hot)
+    copies = F.coalesce("copies_", F.lit(1))
+    dealt = left.join(hot, keys, "left").withColumn("salt_", F.pmod(F.xxhash64(*by), copies).cast("int")).drop("copies_")
+    copied = right.join(hot, keys, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies_")
+    return dealt.join(copied, [*keys, "salt_"], how).drop("salt_")
+
+
 def rereadable(df: DataFrame) -> DataFrame:
-    """The frame itself if it is a plain scan, which gives the same rows each time; else a checkpoint of it."""
-    return df.checkpoint() if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+    """The frame itself if it is a file scan under deterministic projections and filters; else a checkpoint of it."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    same = plan.deterministic()
+    while same and plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    return df if same and plan.children().size() == 0 and "Relation" in plan.nodeName() else df.checkpoint()
 
 
 def with_rest(df: DataFrame, *named: str, rest: str = "rest"):

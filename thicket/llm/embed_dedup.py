@@ -6,8 +6,9 @@ joins through common neighbours then improve the lists until they settle.  Every
 pair at or above the threshold links, whether or not a list keeps it: a block or join
 gives the stars of its own components.  Vectors whose lists are full of links are compared
 with all of their label, in blocks, since their lists can't show the rest.  The links
-of a group are counted in blocks.  A sample of groups of each size audits recall against
-all vectors; a miss starts wider rounds, and at last a comparison of all pairs.
+of a group are counted in blocks.  Every vector whose id is divisible by 100, and some of
+groups of each size, audit recall against all vectors of their label, in blocks; a miss
+starts wider rounds, and at last a comparison of all pairs.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from .components import components
 
 #: Neighbours in a list, projection trees, rounds at most, vectors in a block.
 NEIGHBOURS, TREES, ROUNDS, BLOCK = 8, 8, 3, 64
-#: Vectors audited at most of groups of like size, mean recall of a vector asked for, attempts (each doubles lists and trees).
-AUDITED, RECALL, ATTEMPTS = 128, 0.995, 3
+#: Vectors whose id this divides are audited, and so many of groups of like size; mean recall of a vector
+#: asked for in each size; attempts (each doubles lists and trees).
+AUDIT_EVERY, AUDITED, RECALL, ATTEMPTS = 100, 128, 0.995, 3
 #: Vectors of a group compared at once.
 GROUP_BLOCK = 256
 #: Vectors of a label that are compared with as many others at once.
@@ -32,6 +34,7 @@ LABEL_BLOCK = 1024
 
 def _units(column: pa.Array) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(1, initial=0)[:, None]  # squares of very large or small components stay in range
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -96,22 +99,21 @@ def _linked(ids: np.ndarray, s: np.ndarray, threshold: float):
 
 
 def _against(threshold: float):
-    """Rows (label, i, j, role, node, v): stars of the links between block i of some nodes and block j of all."""
+    """Rows (label, i, j, role, node, group_, v): stars of the links between block i of some nodes and block j of all."""
 
     def run(batches):
         for _, parts in _groups(batches, 3):
             role = np.concatenate([p.column(3).to_numpy() for p in parts])
             ids = np.concatenate([p.column(4).to_numpy() for p in parts])
-            x = np.concatenate([_units(p.column(5)) for p in parts])
+            x = np.concatenate([_units(p.column(6)) for p in parts])
             u, v = _stars(x[role == 0] @ x[role == 1].T >= threshold, ids[role == 0], ids[role == 1])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
-def exact_links(some: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): stars of all links of some nodes with all of their label.  some, nodes: node, label, v."""
-    deal = C.slots(nodes.sparkSession)
+def _facing(some: DataFrame, others: DataFrame) -> DataFrame:
+    """Each block of some rows with each block of other rows of the label: (label, i, j, role, node, group_, v), sorted."""
 
     def parts(df, name):
         return df.groupBy("label").agg(F.ceil(F.count("*") / LABEL_BLOCK).cast("int").alias(name))
@@ -119,11 +121,25 @@ def exact_links(some: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     def each(n):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    size = parts(some, "rows").join(parts(nodes, "columns"), "label")
-    left = some.join(size, "label").select("label", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), each("columns").alias("j"), F.lit(0).alias("role"), "node", "v")
-    right = nodes.join(size, "label").select("label", each("rows").alias("i"), F.pmod(F.xxhash64("node"), F.col("columns")).cast("int").alias("j"), F.lit(1).alias("role"), "node", "v")
-    dealt = left.unionByName(right).repartition(deal, "label", "i", "j").sortWithinPartitions("label", "i", "j")
-    return dealt.mapInArrow(_against(threshold), "u long, v long")
+    size = parts(some, "rows").join(parts(others, "columns"), "label")
+    left = some.join(size, "label").select("label", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), each("columns").alias("j"), F.lit(0).alias("role"), "node", "group_", "v")
+    right = others.join(size, "label").select("label", each("rows").alias("i"), F.pmod(F.xxhash64("node"), F.col("columns")).cast("int").alias("j"), F.lit(1).alias("role"), "node", "group_", "v")
+    return left.unionByName(right).repartition(C.slots(some.sparkSession), "label", "i", "j").sortWithinPartitions("label", "i", "j")
+
+
+def exact_links(some: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): stars of all links of some nodes with all of their label.  some, nodes: node, label, v."""
+    own = F.col("node").alias("group_")
+    return _facing(some.select("*", own), nodes.select("*", own)).mapInArrow(_against(threshold), "u long, v long")
+
+
+def recall(asked: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, found): an asked node's links with all nodes of its label, and those within its group.
+
+    asked, nodes: node, label, group_, v.
+    """
+    told = _facing(asked, nodes).mapInArrow(_audit(threshold), "node long, links long, found long")
+    return told.groupBy("node").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
 
 
 def _in_blocks(k: int, threshold: float):
@@ -189,35 +205,38 @@ def _meet(k: int, threshold: float):
 
 
 def _counted(threshold: float):
-    """Rows (group, i, j, role, node, times, v): links of each node of block i into block j, copies included."""
+    """Rows (group, i, j, role, node, times, v), i <= j: links between nodes of blocks i and j, copies included."""
 
     def run(batches):
-        for _, parts in _groups(batches, 3):
+        for key, parts in _groups(batches, 3):
             role = np.concatenate([p.column(3).to_numpy() for p in parts])
             ids = np.concatenate([p.column(4).to_numpy() for p in parts])
             times = np.concatenate([p.column(5).to_numpy() for p in parts]).astype(np.float64)
             x = np.concatenate([_units(p.column(6)) for p in parts])
-            rows, others = role == 0, role == 1
-            close = (x[rows] @ x[others].T >= threshold) & (ids[rows][:, None] != ids[others][None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array((close @ times[others]).round().astype(np.int64))], names=["node", "links"])
+            own = role == 0
+            if key[1] == key[2]:
+                close = x @ x.T >= threshold
+                np.fill_diagonal(close, False)
+                nodes, links = ids, close @ times
+            else:
+                close = x[own] @ x[~own].T >= threshold
+                nodes, links = np.append(ids[own], ids[~own]), np.append(close @ times[~own], times[own] @ close)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links.round().astype(np.int64))], names=["node", "links"])
 
     return run
 
 
-def _audit(sample: list, threshold: float):
-    """Pairs at the threshold between the sample and all rows (node, label, v)."""
-    ids = np.array([r[0] for r in sample], np.int64)
-    labels = np.array([r[1] for r in sample], np.int64)
-    x = np.array([r[2] for r in sample], np.float64)
-    x /= np.sqrt((x * x).sum(1))[:, None]
+def _audit(threshold: float):
+    """Rows as for ``_against``: how many links each asked node has, and how many of them within its group."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                node = batch.column(0).to_numpy()
-                close = (_units(batch.column(2)) @ x.T >= threshold) & (batch.column(1).to_numpy()[:, None] == labels) & (node[:, None] != ids)
-                a, b = np.nonzero(close)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[b]), pa.array(node[a])], names=["u", "v"])
+        for _, parts in _groups(batches, 3):
+            role, ids, group = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (3, 4, 5))
+            x = np.concatenate([_units(p.column(6)) for p in parts])
+            a, b = role == 0, role == 1
+            close = (x[a] @ x[b].T >= threshold) & (ids[a][:, None] != ids[b])
+            found = close & (group[a][:, None] == group[b])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(close.sum(1)), pa.array(found.sum(1))], names=["node", "links", "found"])
 
     return run
 
@@ -258,7 +277,7 @@ def neighbour_graph(nodes: DataFrame, k: int, trees: int, threshold: float, roun
     return graph, links.distinct()
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", report: dict | None = None) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row with an id.
 
     Vectors of equal label are linked if their cosine, in double precision, is at least
@@ -267,6 +286,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     every other vector of the group that is close enough, exact copies included.  Copies
     of a row under one id count as one vector.  Rows with a null id are left out; extra
     columns are ignored; an empty table gives an empty result.
+
+    report: receives ``recall``, the audited vectors' mean share of links found (the worst of
+    the group sizes; None if no audited vector has a link), and ``audited``, their number.
+    Below ``RECALL`` in the last attempt, all vectors of a label are compared, in blocks.
     """
     spark = vectors.sparkSession
     C.prepare(spark)
@@ -274,42 +297,39 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label_"), v.alias("v"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("label_").isNotNull()
     rows = rows.withColumn("label", F.when(fine, F.xxhash64(F.col("label_").cast("string"), F.size("v")))).select("id", "label", F.when(fine, F.col("v")).alias("v"))
-    nodes = rows.where("label is not null").groupBy("label", "v").agg(F.min("id").alias("node"), F.count_distinct("id").alias("times"))
-    nodes = nodes.select("node", "label", "v", "times").checkpoint()
+    nodes = rows.where("label is not null").groupBy("label", "v").agg(F.min("id").alias("node"), F.count_distinct("id").alias("times"), F.count("*").alias("rows_"), F.max((F.col("id") % AUDIT_EVERY == 0).cast("int")).alias("asked"))
+    nodes = nodes.select("node", "label", "v", "times", "rows_", "asked").checkpoint()
     plain = nodes.select("node", "label", "v")
-    links, sample, k, trees = None, None, NEIGHBOURS, TREES
+    links, k, trees = None, NEIGHBOURS, TREES
+    told = {} if report is None else report
     for attempt in range(ATTEMPTS):
         graph, found = neighbour_graph(plain, k, trees, threshold, seed=1 + attempt)
         full = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("least")).where((F.col("n") >= k) & (F.col("least") >= threshold))
         found = found.unionByName(exact_links(plain.join(full, plain.node == full.u, "left_semi"), plain, threshold))
         links = (found if links is None else links.unionByName(found)).checkpoint()
         groups = components(links, "u", "v").checkpoint()
-        if sample is None:
-            size = groups.groupBy("component").agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("stratum"))
-            strata = plain.join(groups, "node", "left").join(size, "component", "left").select("node", "label", "v", F.coalesce("stratum", F.lit(0)).alias("stratum"))
-            nth = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64("node", F.lit(3)), "node"))
-            picked = strata.withColumn("nth", nth).where(F.col("nth") <= AUDITED).select("node", "label", "v", "stratum").checkpoint()
-            sample = [(r["node"], r["label"], r["v"]) for r in picked.collect()]  # AUDITED vectors for each power of two at most
-        if not sample:
-            break
-        true = plain.mapInArrow(_audit(sample, threshold), "u long, v long")
-        g, h = groups.alias("g"), groups.alias("h")
-        told = true.join(g, F.col("u") == F.col("g.node"), "left").join(h, F.col("v") == F.col("h.node"), "left")
-        each = told.groupBy("u").agg(F.avg(F.coalesce(F.col("g.component") == F.col("h.component"), F.lit(False)).cast("int")).alias("recall"))
-        worst = each.join(picked, F.col("u") == F.col("node")).groupBy("stratum").agg(F.avg("recall").alias("recall")).agg(F.min("recall")).first()[0]
-        if worst is None or worst >= RECALL:
+        size = groups.groupBy("component").agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("stratum"))
+        placed = nodes.join(groups, "node", "left").withColumn("group_", F.coalesce("component", "node")).join(size, "component", "left").withColumn("stratum", F.coalesce("stratum", F.lit(0)))
+        nth = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64("node", F.lit(3)), "node"))
+        also = placed.select("node", "stratum").withColumn("nth", nth).where(F.col("nth") <= AUDITED).select("node", F.lit(1).alias("also"))
+        asked = placed.join(also, "node", "left").where((F.col("asked") == 1) | (F.col("also") == 1)).select("node", "label", "group_", "v", "stratum").checkpoint()
+        each = recall(asked.drop("stratum"), placed.select("node", "label", "group_", "v"), threshold).where("links > 0")
+        by_size = each.join(asked, "node").groupBy("stratum").agg(F.avg(F.col("found") / F.col("links")).alias("recall"), F.count("*").alias("n"))
+        told["recall"], told["audited"] = by_size.agg(F.min("recall"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if told["recall"] is None or told["recall"] >= RECALL:
             break
         k, trees = 2 * k, 2 * trees
     else:
         links = links.unionByName(exact_links(plain, plain, threshold)).checkpoint()
         groups = components(links, "u", "v").checkpoint()
+        told["recall"] = 1.0
     size = groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
     placed = groups.join(size, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = placed.select("component", "i", each.alias("j"), F.lit(0).alias("role"), "node").unionByName(placed.select("component", each.alias("i"), F.col("i").alias("j"), F.lit(1).alias("role"), "node"))
-    compared = pairs.join(nodes, "node").select("component", "i", "j", "role", "node", "times", "v").repartition(C.slots(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    right = placed.select("component", "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("role"), "node")
+    below = placed.where("i > 0").select("component", F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("i_"), F.col("i").alias("j"), F.lit(1).alias("role"), "node").withColumnRenamed("i_", "i")
+    compared = right.unionByName(below).join(nodes, "node").select("component", "i", "j", "role", "node", "times", "v").repartition(C.slots(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j")
     counts = compared.mapInArrow(_counted(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
     whole = nodes.join(counts, "node", "left").join(groups, "node", "left").select("label", "v", F.col("times"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    joined = rows.alias("r").join(whole.alias("w"), (F.col("r.label") == F.col("w.label")) & (F.col("r.v") == F.col("w.v")), "left")
+    joined = C.spread_join(rows, whole, ["label", "v"], C.hot_keys(nodes, ["label", "v"], "rows_"), ["id"], "left")
     component = F.coalesce("component", "id")
     return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

@@ -3,7 +3,9 @@
 A suffix automaton of a bounded sample of labelled text stands for each language.  A
 text is parsed greedily into the longest pieces that occur in the sample; the language
 that needs the fewest pieces, normalised by what its own held-back text needs, wins.
-The automata become flat transition tables, so many texts are parsed in step.
+Symbols are the UTF-8 bytes of lower-cased letters, so no script or letter is left out;
+each language's table has a column for each byte that its own sample holds.  The
+automata become flat transition tables, so many texts are parsed in step.
 """
 
 from __future__ import annotations
@@ -13,17 +15,21 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Symbols of sampled text for each language, documents sampled for each, languages at most.
-SAMPLE_SYMBOLS, SAMPLE_DOCS, MOST_LANGUAGES = 24_000, 96, 128
+#: Bytes of letters that make an automaton at most, and documents sampled for each language.
+SAMPLE_SYMBOLS, SAMPLE_DOCS = 24_000, 96
+#: Characters of a language's sampled documents together; a longer document gives a passage from a hashed place.
+SAMPLE_CHARS = 400_000
+#: Bytes of all tables together: with very many languages each gets a smaller automaton.  Characters sent to the driver at most.
+MODEL_BYTES, MOST_CHARS = 256 << 20, 64_000_000
 #: Symbols of a passage that no two documents of a fit may share.
 PASSAGE = 64
-#: Letters told apart; a text is parsed in stretches of so many symbols.
-LETTERS, STRETCH = 46, 256
+#: A text is parsed in stretches of so many symbols.
+STRETCH = 256
 _RESTART = np.int32(1 << 30)
 
 
@@ -52,6 +58,14 @@ def letters_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return points[keep], at[row_at]
 
 
+def bytes_of(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points as UTF-8 bytes, and the rows' bounds in them."""
+    size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    at = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    return np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8), at[bounds]
+
+
 def automaton(symbols: list[int], width: int) -> np.ndarray:
     """The suffix automaton of a sequence as a flat table: state * width + symbol.
 
@@ -130,52 +144,57 @@ def unlike(parts: list[np.ndarray]) -> list[np.ndarray]:
 
 
 class Model:
-    """Languages, their automata, and the pieces a symbol of their own text needs."""
+    """Languages, their automata, and the pieces a symbol of their own text needs.
+
+    A language's sampled texts are taken in order: those of the first half make its
+    automaton (``sample`` symbols at most), the rest measure its norm.
+    """
 
-    def __init__(self, texts: dict[str, list[str]], sample: int = SAMPLE_SYMBOLS):
+    def __init__(self, texts: dict[str, list[str]], sample: int = SAMPLE_SYMBOLS, most_bytes: int = MODEL_BYTES):
         self.languages = sorted(texts)
-        runs = {}
+        own_texts, self.columns = [], []
         for lang in self.languages:
             data, offsets = C.utf8(pa.array(texts[lang], pa.string()))
-            runs[lang] = letters_of(data, offsets)
-        seen = np.concatenate([r[0] for r in runs.values()]) if runs else np.zeros(0, np.uint32)
-        found, count = np.unique(seen[seen != 32], return_counts=True)
-        self.letters = np.sort(found[np.argsort(-count, kind="stable")][:LETTERS])
-        self.width = len(self.letters) + 2
-        self.tables, self.own = [], []
-        for lang in self.languages:
-            symbols, bounds = self.symbols(runs[lang][0]), runs[lang][1]
-            parts = unlike([symbols[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+            symbols, bounds = bytes_of(*letters_of(data, offsets))
+            own_texts.append(unlike([symbols[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]))
+            seen = np.unique(symbols)
+            column = np.full(256, len(seen), np.int32)  # bytes that the language hasn't shown share the last column: they end a piece
+            column[seen] = np.arange(len(seen))
+            self.columns.append(column)
+        width = [int(c.max(initial=0)) + 1 for c in self.columns]
+        sample = max(1, min(sample, most_bytes // (8 * max(1, sum(width)))))
+        self.tables, self.own, self.width = [], [], width
+        for parts, column, w in zip(own_texts, self.columns, width, strict=True):
             edge = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int64)
             most = max(0, len(parts) - 1 if len(parts) < 4 else len(parts) // 2)  # the others measure the norm
             taught = min(int(np.searchsorted(edge, sample, "left")), most) if len(parts) > 1 else len(parts)
-            taught_symbols = np.concatenate([*parts[:taught], np.zeros(0, np.int32)])[:sample]
-            table = automaton(taught_symbols.tolist(), self.width)
-            rest = np.concatenate([*parts[taught:], np.zeros(0, np.int32)]).astype(np.int32)
+            none = np.zeros(0, np.uint8)
+            table = automaton(column[np.concatenate([*parts[:taught], none])[:sample]].tolist(), w)
+            rest = column[np.concatenate([*parts[taught:], none])]
             self.tables.append(table)
-            self.own.append(pieces(table, self.width, rest, edge[taught:] - edge[taught]).sum() / len(rest) if len(rest) > STRETCH else None)
+            self.own.append(pieces(table, w, rest, edge[taught:] - edge[taught]).sum() / len(rest) if len(rest) > STRETCH else None)
         known = [x for x in self.own if x]  # a language with too little text to tell takes the mean of the others
         self.own = [x or (sum(known) / len(known) if known else 0.3) for x in self.own]
 
-    def symbols(self, points: np.ndarray) -> np.ndarray:
-        """0 for a space, a letter's number from 1, the last for other letters."""
-        at = np.searchsorted(self.letters, points)
-        known = at < len(self.letters)
-        known[known] = self.letters[at[known]] == points[known]
-        return np.where(points == 32, 0, np.where(known, at + 1, self.width - 1)).astype(np.int32)
-
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-        points, bounds = letters_of(data, offsets)
-        symbols, size = self.symbols(points), np.diff(bounds)
+        points, rows = letters_of(data, offsets)
+        symbols, bounds = bytes_of(points, rows)
+        size = np.diff(bounds)
         has = np.zeros(len(points) + 1, np.int64)
         np.cumsum(points != 32, out=has[1:])
-        has = np.diff(has[bounds]) > 0
-        cost = np.stack([pieces(t, self.width, symbols, bounds) / o for t, o in zip(self.tables, self.own, strict=True)]) if self.tables else np.zeros((1, len(size)))
-        cost = cost / np.maximum(size, 1)
-        best = cost.argmin(0)
-        weight = np.exp(-8 * (cost - cost.min(0)))
+        has = np.diff(has[rows]) > 0
+        cost = np.full(len(size), np.inf), np.zeros(len(size), np.int64)
+        weight = np.zeros(len(size))  # of all languages, relative to the best so far
+        for k, (table, column, w, own) in enumerate(zip(self.tables, self.columns, self.width, self.own, strict=True)):
+            now = pieces(table, w, column[symbols], bounds) / own / np.maximum(size, 1)
+            better = now < cost[0]
+            least = np.where(better, now, cost[0])
+            with np.errstate(invalid="ignore"):
+                weight = np.where(np.isinf(cost[0]), 0.0, weight * np.exp(-8 * np.where(better, cost[0] - least, 0.0))) + np.exp(-8 * (now - least))
+            cost = least, np.where(better, k, cost[1])
         langs = self.languages or ["und"]
-        return [langs[b] if h else "und" for b, h in zip(best, has, strict=True)], np.where(has, 1 / weight.sum(0), 0.0)
+        has &= len(self.languages) > 0
+        return [langs[b] if h else "und" for b, h in zip(cost[1].tolist(), has.tolist(), strict=True)], np.where(has, 1 / np.maximum(weight, 1e-300), 0.0)
 
 
 @functools.lru_cache(maxsize=2)
@@ -183,61 +202,61 @@ def _model(packed: tuple) -> Model:
     return Model({lang: list(texts) for lang, texts in packed})
 
 
-def _predict(packed: tuple):
+def _predict(sent):
     def run(batches):
-        model = _model(packed)
-        for part, data, offsets in C.chunks(batches):
-            langs, score = model.predict(data, offsets)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
+        model = _model(sent.value)
+        for batch in batches:
+            for part, data, offsets in C.chunks([batch], limit=C.CHUNK_BYTES // 2):
+                langs, score = model.predict(data, offsets)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["id", "held_out", "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def _sampled(train: DataFrame, sample_docs: int, sample_chars: int) -> dict[str, list[str]]:
+    """Each language's sampled texts, in order of their hashes."""
+    h = F.xxhash64("text", F.lit(5))
+    texts_of = train.groupBy("lang", h.alias("h")).agg(F.min("id").alias("id"), F.max(F.char_length("text")).alias("n"))  # equal texts teach once
+    w = Window.partitionBy("lang").orderBy("h")
+    near = texts_of.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= sample_docs)
+    size = F.least("n", F.lit(sample_chars))
+    near = near.withColumn("before", F.sum(size).over(w) - size).where(F.col("before") < sample_chars).select("lang", "h", "id").checkpoint()
+    languages = near.select("lang").distinct().count()
+    share = max(200, min(sample_chars, MOST_CHARS // max(1, languages)))
+    picked = train.withColumn("h", h).join(F.broadcast(near), ["lang", "h", "id"], "left_semi")  # sample_docs rows a language at most
+    # a text longer than the whole sample gives a passage that begins at a hashed place
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.char_length("text") - share + 1, F.lit(1))).cast("int") + 1
+    texts: dict[str, list[str]] = {}
+    left: dict[str, int] = {}
+    rows = picked.select("lang", "h", F.substr("text", start, F.lit(share)).alias("text")).dropDuplicates(["lang", "h"])
+    rows = rows.withColumn("n", F.char_length("text")).withColumn("before", F.sum("n").over(w) - F.col("n")).where(F.col("before") < share)
+    for r in rows.orderBy("lang", "h").select("lang", "text").toLocalIterator():  # MOST_CHARS characters, or 200 a language, and one text more of each
+        room = left.get(r["lang"], share)
+        if room > 0:
+            texts.setdefault(r["lang"], []).append(r["text"][:room])
+            left[r["lang"]] = room - len(r["text"])
+    return texts
+
+
+def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """(id_col, held_out, lang_pred, score) for every row with an id.
 
-    held_out: a Column; rows where it is true teach nothing.  Each language learns from
-    at most ``sample_docs`` distinct texts (those of least hash; the first 4000 characters of
-    each), of which those that share a passage with one before are left out: ``SAMPLE_SYMBOLS``
-    of the letters of the first half at most make the automaton, the rest measure its norm.  A text without letters (null, empty) is ``und`` with score 0, as is every
-    text if nothing is labelled.  Ties go to the language first by name.  More than
-    ``MOST_LANGUAGES`` labels are an error.  Extra columns are ignored; an empty table
-    gives an empty result.
+    held_out: a Column; rows where it is true teach nothing.  Each language learns from a
+    bounded sample of its distinct texts: those of least hash, ``sample_docs`` of them and
+    ``sample_chars`` characters together at most (the text that reaches the bound is taken in
+    part; a longer text gives a passage from a hashed place).  Texts that share a passage with
+    one before are left out; ``SAMPLE_SYMBOLS`` symbols of the first half at most make the
+    automaton, the rest measure its norm.  With so many languages that tables would pass
+    ``MODEL_BYTES`` together, each automaton is smaller; no language is left out.  Every text
+    is parsed whole, in stretches of ``STRETCH`` symbols.  A text without letters (null,
+    empty) is ``und`` with score 0, as is every text if nothing is labelled.  Ties go to the
+    language first by name.  A repeated row gives a repeated row.  Extra columns are ignored;
+    an empty table gives an empty result.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.coalesce(held_out, F.lit(True)).alias("held_out")).where("id is not null")
-    train = whole.where("not held_out and lang is not null and text is not null")
-    langs = sorted(r[0] for r in train.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    from pyspark.sql import Window
-
-    h = F.xxhash64("text", F.lit(5))
-    texts_of = train.groupBy("lang", h.alias("h")).agg(F.min("id").alias("id"))  # equal texts teach once
-    near = texts_of.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_docs)
-    ids = [r["id"] for r in near.select("id").distinct().collect()]  # sample_docs rows a language at most
-    texts: dict[str, list] = {lang: [] for lang in langs}
-    picked = train.where(F.col("id").isin(ids)).select("lang", "id", h.alias("h"), F.substring("text", 1, 4000).alias("text")).join(near.select("lang", "id", "h"), ["lang", "id", "h"], "left_semi") if ids else None
-    for r in picked.dropDuplicates(["lang", "h"]).orderBy("h", "lang").collect() if ids else []:
-        texts[r["lang"]].append(r["text"])
-    packed = tuple((lang, tuple(texts[lang])) for lang in langs)
-    model = spark.sparkContext.broadcast(packed)  # sample_docs * 4000 characters a language at most
-
-    def run(batches):
-        yield from _predict(model.value)(batches)
-
-    done = whole.select("id", "text", "held_out").mapInArrow(_with_flag(run), "id long, held_out boolean, lang_pred string, score double")
+    texts = _sampled(whole.where("not held_out and lang is not null and text is not null"), sample_docs, sample_chars)
+    sent = spark.sparkContext.broadcast(tuple((lang, tuple(own)) for lang, own in sorted(texts.items())))  # MOST_CHARS characters, as above
+    done = whole.select("id", "text", "held_out").mapInArrow(_predict(sent), "id long, held_out boolean, lang_pred string, score double")
     return done.withColumnRenamed("id", id_col)
-
-
-def _with_flag(run):
-    def flagged(batches):
-        for batch in batches:
-            at = 0
-            for out in run([batch]):
-                n = out.num_rows
-                yield pa.RecordBatch.from_arrays([out.column(0), batch.column(2).slice(at, n), out.column(1), out.column(2)], names=["id", "held_out", "lang_pred", "score"])
-                at += n
-
-    return flagged

@@ -63,7 +63,7 @@ raw AS MATERIALIZED ({_spans("assign", 0, r'''(?i:password|passwd|secret|token|a
 UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]{12,}", 0, 16)}
 UNION ALL {_spans("hex", 2, "[0-9a-f]{32,}", 0, 32)}
 UNION ALL SELECT * FROM ({_spans("mixed", 3, "[A-Za-z0-9+/_-]{20,}", 0, 20)}) WHERE regexp_matches(val, '[0-9]')),
-own AS (SELECT val, count(DISTINCT source) AS k FROM raw GROUP BY val),
+own AS (SELECT val, count(DISTINCT split_part(source, '/', 1)) AS k FROM raw GROUP BY val),
 r AS (SELECT raw.*, s + len AS e, k <= 2 AS live FROM raw JOIN own USING (val)),
 added AS (SELECT * FROM r WHERE ord = 3 AND live AND NOT EXISTS (SELECT 1 FROM r b WHERE b.doc_id = r.doc_id AND b.ord < 3 AND b.s < r.e AND r.s < b.e)),
 everything AS (SELECT * FROM r WHERE ord < 3 UNION ALL SELECT * FROM added),

@@ -8,8 +8,8 @@ are handled together.  The plan then places each piece by its rank within its le
 
 from __future__ import annotations
 
+import base64
 import json
-import os
 import zlib
 
 import numpy as np
@@ -81,21 +81,34 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 6)
 
 
-def added_tokens(tokenizer: str) -> dict[bytes, int]:
-    """The added tokens of a tokenizers JSON file: their bytes and ids."""
-    with open(tokenizer, encoding="utf-8") as f:
-        tokens = json.load(f)["added_tokens"]
+def read_tokenizer(path: str) -> tuple[bytes, dict[bytes, int]]:
+    """A byte-level BPE tokenizers JSON file as a rank file's bytes, and its added tokens with their ids."""
+    made = json.loads(bpe.read_ranks(path))
+    tokens, model, cut = made["added_tokens"], made["model"], made["pre_tokenizer"]
     if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
         raise ValueError("added tokens that take in or ask for what is around them are not supported")
-    return {t["content"].encode(): t["id"] for t in tokens}
-
-
-def _tokenise(path: str, capacity: int, end_id: int, added: dict[bytes, int]):
+    if model["type"] != "BPE" or cut["type"] != "ByteLevel" or cut["add_prefix_space"] or not cut["use_regex"] or made["normalizer"]:
+        raise ValueError(f"{path} is not plain byte-level BPE")
+    vocab = model["vocab"]
+    order = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if order != sorted(order):
+        raise ValueError("merges are not in the order of their ids")
+    # a byte that is a printable Latin-1 sign stands for itself, the others are numbered from 256
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    added = {t["content"]: t["id"] for t in tokens}
+    ranks = b"\n".join(base64.b64encode(bytes(byte_of[c] for c in w)) + b" %d" % i for w, i in vocab.items() if w not in added)
+    return ranks, {w.encode(): i for w, i in added.items()}
+
+
+def _tokenise(sent, capacity: int, end_id: int):
     def run(batches):
+        ranks, added = sent.value
+        own = bpe.vocabulary(ranks)
         for part, data, offsets in C.chunks(batches, limit=bpe.BLOCK_BYTES):
             starts, ends, first = bpe.pretokens_around(data, offsets, added)
             _, words, back = bpe.distinct(data, starts, ends)
-            ids, begin = bpe.encode_words(words, path, added)
+            ids, begin = bpe.encode_words(words, own, added)
             size = np.diff(begin)
             flat = ids[C.ranges(begin[:-1][back], size[back])].astype("<u4")
             edge = np.zeros(len(back) + 1, np.int64)
@@ -103,12 +116,12 @@ def _tokenise(path: str, capacity: int, end_id: int, added: dict[bytes, int]):
             raw, edge, end = flat.tobytes(), edge[first].tolist(), np.array([end_id], "<u4").tobytes()
             out = []
             for i, a, b in zip(part.column(0).to_pylist(), edge[:-1], edge[1:], strict=True):
-                own, n = raw[4 * a : 4 * b] + end, b - a + 1
+                text_ids, n = raw[4 * a : 4 * b] + end, b - a + 1
                 at = 0
                 to = n % capacity or capacity
                 piece = 0
                 while at < n:
-                    out.append((i, piece, at, to - at, zlib.crc32(own[4 * at : 4 * to])))
+                    out.append((i, piece, at, to - at, zlib.crc32(text_ids[4 * at : 4 * to])))
                     at, to, piece = to, to + capacity, piece + 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "piece", "start", "length", "ids_crc32"])
@@ -131,24 +144,21 @@ def _place(rows: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset), a row per piece.
 
-    A document is its text's ids (``path``: a tiktoken rank file) and then ``end_id``.
-    Texts are first cut at the added tokens of ``tokenizer`` (a tokenizers JSON file; if not
-    given, that of the rank file's name where there is one), which get their own ids.
-    One longer than ``capacity`` is cut into full pieces after a first, shorter one.
-    Null and empty texts are the end id alone.  Every row with an id is packed, repeated
-    rows too; rows with a null id are left out.  Extra columns are ignored; an empty
-    table gives an empty result.
+    A document is its text's ids and then ``end_id``.  tokenizer: a tokenizers JSON file of
+    byte-level BPE, read on the driver; as with that library, texts are first cut at its added
+    tokens, which get their own ids.  A document longer than ``capacity`` is cut into full
+    pieces after a first, shorter one.  Null and empty texts are the end id alone.  Every row
+    with an id is packed, repeated rows too; rows with a null id are left out.  Extra columns
+    are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     C.prepare(spark)
-    beside = os.path.splitext(path)[0] + ".json"
-    tokenizer = tokenizer or (beside if os.path.exists(beside) else None)
-    added = added_tokens(tokenizer) if tokenizer else {}
+    sent = spark.sparkContext.broadcast(read_tokenizer(tokenizer))  # bpe.MOST_VOCABULARY bytes at most
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    pieces = whole.mapInArrow(_tokenise(path, capacity, end_id, added), "id long, piece int, start long, length long, ids_crc32 long").checkpoint()
+    pieces = whole.mapInArrow(_tokenise(sent, capacity, end_id), "id long, piece int, start long, length long, ids_crc32 long").checkpoint()
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     dealt = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(4 * C.slots(spark))).cast("int"))
     sizes = dealt.groupBy("length", "salt").count()

@@ -89,7 +89,7 @@ def _measure(batches):
     for part, data, offsets in C.chunks(batches):
         x = statistics(data, offsets).astype(np.float32)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([part.column(0), flat], names=["id", "x"])
+        yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), flat], names=["id", "tkey", "held_out", "x"])
 
 
 def fourier(x: np.ndarray, centre: np.ndarray, scale: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -165,42 +165,52 @@ def _calibrated(at: np.ndarray, to: np.ndarray):
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, most_rows: int = MOST_ROWS) -> DataFrame:
-    """(id_col, held_out, score, predicted) for every row with an id.
+    """(id_col, held_out, score, predicted, text_key) for every row with an id; text_key is a hash of the text.
 
     labels: id_col and label_col (0 or 1; others and nulls teach nothing, and of a
     repeated id the larger label counts).  held_out: a Column over docs; rows where it
     is true teach nothing.  At most about ``most_rows`` labelled rows, those of least
-    id hash, are fitted; a fifth of them calibrates.  Null and empty texts are scored
-    like any other, from their statistics (all zero).  With labels of one kind only,
-    scores are that label; without labels, 0.5.  Extra columns are ignored; an empty
-    table gives an empty result.
+    id hash, are fitted; a fifth of them calibrates, or all where that fifth or the rest
+    has labels of one kind only.  Null and empty texts are scored like any other, from
+    their statistics (all zero).  With labels of one kind only, scores are that label;
+    without labels, 0.5.  A repeated row gives a repeated row.  Extra columns are ignored;
+    an empty table gives an empty result.
     """
     spark = docs.sparkSession
     C.prepare(spark)
-    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out")).where("id is not null")
-    flags = whole.select("id", "held_out").distinct()
-    measured = whole.select("id", "text").mapInArrow(_measure, "id long, x array<float>").checkpoint()
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("tkey"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text_col).alias("text")).where("id is not null")
+    measured = whole.mapInArrow(_measure, "id long, tkey long, held_out boolean, x array<float>").checkpoint()
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").cast("double").alias("y"))
-    taught = known.join(flags.where("not held_out"), "id")
+    taught = measured.where("not held_out").join(known, "id").select("id", "x", "y")
     share = min(1.0, most_rows / max(1, taught.count()))
     bound = int(share * (1 << 31))
-    rows = measured.join(taught, "id").withColumn("h", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 31))).where(F.col("h") <= bound).checkpoint()
+    fit = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) != 0
+    rows = taught.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 31)) <= bound).withColumn("fit", fit).checkpoint()
+    kinds = {(r["fit"], r["y"]): r["count"] for r in rows.groupBy("fit", "y").count().collect()}  # four rows at most
+
+    def told(values):
+        out = values.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("tkey").alias("text_key"))
+        return out
+
+    if len({y for _, y in kinds}) < 2:
+        return told(measured.withColumn("score", F.lit(next((y for _, y in kinds), 0.5))))
+    apart = all((part, y) in kinds for part in (True, False) for y in (0.0, 1.0))
     few = min(64, C.slots(spark))
     moments = rows.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()  # a row per statistic
-    if not moments:
-        return _flat(docs, whole, id_col, 0.5, threshold)
     centre, scale = np.zeros(len(STATISTICS)), np.ones(len(STATISTICS))
     for r in moments:
         centre[r["k"]], scale[r["k"]] = r["m"], r["s"] if r["s"] > 1e-9 else 1.0
-    fit = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) != 0
-    sums = rows.where(fit).select("x", "y").repartition(few).mapInArrow(_equations(centre, scale), "sums binary").coalesce(1).mapInArrow(_added, "sums binary").first()
+    fitted = rows.where("fit") if apart else rows
+    sums = fitted.select("x", "y").repartition(few).mapInArrow(_equations(centre, scale), "sums binary").coalesce(1).mapInArrow(_added, "sums binary").first()
     total = np.frombuffer(sums["sums"], np.float64)
     m = FEATURES + 1
     a, c = total[: m * m].reshape(m, m), total[m * m :]
     ridge = RIDGE * max(1.0, a[-1, -1]) / FEATURES * np.eye(m)
     ridge[-1, -1] = 1e-9
     beta = np.linalg.solve(a + ridge, c)
-    raw = rows.where(~fit).select("x", "y").mapInArrow(_raw(centre, scale, beta, ["x", "y"]), "x array<float>, y double, raw double")
+    checked = rows.where("not fit") if apart else rows
+    raw = checked.select("x", "y").mapInArrow(_raw(centre, scale, beta, ["x", "y"]), "x array<float>, y double, raw double")
     bins = F.least(F.greatest(F.floor((F.col("raw") + 0.5) * (BINS / 2)), F.lit(0)), F.lit(BINS - 1))
     kept = raw.groupBy(bins.alias("bin")).agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()  # BINS rows at most
     at, y, n = (np.array([float(r[k]) for r in kept]) for k in ("raw", "y", "n"))
@@ -209,10 +219,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     else:
         # a little of the raw score keeps the order within flat stretches
         to = 0.98 * isotonic(y, n) + 0.02 * np.clip(at, 0, 1)
-    scored = measured.select("id", "x").mapInArrow(_raw(centre, scale, beta, ["id", "x"]), "id long, x array<float>, raw double").select("id", "raw").mapInArrow(_calibrated(at, to), "id long, raw double, score double")
-    done = scored.join(flags, "id")
-    return done.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-
-def _flat(docs, whole, id_col, value, threshold):
-    return whole.select(F.col("id").alias(id_col), "held_out", F.lit(value).alias("score"), F.lit(int(value >= threshold)).alias("predicted"))
+    names = ["id", "tkey", "held_out", "x"]
+    kind = "id long, tkey long, held_out boolean, x array<float>, raw double"
+    scored = measured.select(*names).mapInArrow(_raw(centre, scale, beta, names), kind).mapInArrow(_calibrated(at, to), kind + ", score double")
+    return told(scored)

@@ -4,9 +4,10 @@ A window is ``width`` consecutive words.  Consecutive windows whose least word
 gram (their minimiser) is the same are a super-k-mer.  Blocks of text first ask, by
 minimiser hash alone, which of theirs occur more than once; only those travel, each
 super-k-mer as one packed string of words, to the minimiser's bucket.  A bucket sorts
-its windows by a 128-bit hash of their words and keeps the earliest of each.  Windows
-that repeat within a block are settled there, so a passage that very many documents
-share travels once per block, not once per document.
+its windows by a hash of their words, compares the words of those with equal hashes byte
+by byte, and keeps the earliest of each.  Windows that repeat within a block are settled
+there, so a passage that very many documents share travels once per block, not once per
+document; a minimiser that very many blocks share is dealt by its windows' own hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from . import common as C
 BLOCK_BYTES = 1 << 20
 #: Compressed bytes of blocks for each bucket.
 BUCKET_BYTES = 2 << 20
-_OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 def _least_over(values: np.ndarray, span: int) -> np.ndarray:
@@ -47,24 +47,6 @@ def _runs(keep: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first, np.flatnonzero(last) + 1 - first
 
 
-def _repeats(order_in: np.ndarray, h1: np.ndarray, h2: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Which windows have an earlier equal one.  order_in lists windows from the earliest; windows of
-    equal owner number are the same place and don't repeat each other."""
-    a = h1[order_in]
-    by = np.argsort(a, kind="stable")
-    a, b = a[by], h2[order_in][by]
-    if len(a) and np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
-        by = np.lexsort((np.arange(len(by)), h2[order_in], h1[order_in]))
-        a, b = h1[order_in][by], h2[order_in][by]
-    head = np.ones(len(a), bool)
-    head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    first = np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
-    places = owner[order_in][by]
-    out = np.zeros(len(a), bool)
-    out[order_in[by]] = places != places[first]
-    return out
-
-
 def _windows(words: np.ndarray, first: np.ndarray, width: int, skip: np.ndarray | None = None):
     """Window hashes, the windows that lie in one row, and the row of each."""
     n = max(0, len(words) - width + 1)
@@ -77,11 +59,16 @@ def _windows(words: np.ndarray, first: np.ndarray, width: int, skip: np.ndarray
     valid[at] = True
     row = np.zeros(n, np.int64)
     row[at] = np.repeat(np.arange(rows), count)
-    return C.window_hashes(words, width), C.window_hashes(C.mix(words ^ _OTHER), width), valid, row
+    return C.window_hashes(words, width), valid, row
 
 
-def _again(h1, h2, valid, row, first_pos, ids, keys) -> np.ndarray:
-    """Which valid windows repeat an earlier one of these.  first_pos: added to a window's number for its place in its document."""
+def _again(hashes, valid, row, first_pos, ids, keys, data, starts, ends, width) -> np.ndarray:
+    """Which valid windows repeat an earlier one of these.  first_pos: added to a window's number for its
+    place in its document; windows of equal place don't repeat each other.
+
+    Windows are grouped by hash and compared with the group's earliest word by word; should one
+    differ from it, all are grouped by their bytes instead.
+    """
     at = np.flatnonzero(valid)
     r = row[at]
     i, k, p = ids[r], keys[r], at + first_pos[r]
@@ -91,8 +78,24 @@ def _again(h1, h2, valid, row, first_pos, ids, keys) -> np.ndarray:
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
     place = np.zeros(len(order), np.int64)
     place[order] = np.cumsum(new)
+
+    def grouped(names):
+        by = order[np.argsort(names[order], kind="stable")]
+        head = np.ones(len(by), bool)
+        head[1:] = names[by][1:] != names[by][:-1]
+        return by, by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))] if len(by) else by
+
+    by, earliest = grouped(hashes[at])
+    other = by != earliest
+    x, y, bytes_at = at[by[other]], at[earliest[other]], C.eights(data)
+    same = np.ones(len(x), bool)
+    for j in range(width):
+        same &= C.same_spans(data, starts[x + j], ends[x + j], starts[y + j], ends[y + j], bytes_at)
+    if not same.all():
+        numbers, known = C.word_numbers(data, starts, ends), {}
+        by, earliest = grouped(np.array([known.setdefault(numbers[w : w + width].tobytes(), len(known)) for w in at.tolist()], np.int64))
     out = np.zeros(len(valid), bool)
-    out[at] = _repeats(order, h1[at], h2[at], place)
+    out[at[by]] = place[by] != place[earliest]
     return out
 
 
@@ -105,8 +108,8 @@ class _Block:
         null = ids.is_null().to_numpy(zero_copy_only=False)
         self.ids, self.keys = ids.fill_null(0).to_numpy(zero_copy_only=False), keys.to_numpy(zero_copy_only=False)
         words = C.word_hashes(data, self.starts, self.ends)
-        h1, h2, valid, self.row = _windows(words, self.first, width, null)
-        again = _again(h1, h2, valid, self.row, -self.first[:-1], self.ids, self.keys)
+        self.hashes, valid, self.row = _windows(words, self.first, width, null)
+        again = _again(self.hashes, valid, self.row, -self.first[:-1], self.ids, self.keys, data, self.starts, self.ends, width)
         breaks = np.ones(len(valid), bool)
         breaks[1:] = self.row[1:] != self.row[:-1]
         self.settled = _runs(valid & again, breaks) if len(valid) else (np.zeros(0, int), np.zeros(0, int))
@@ -245,8 +248,8 @@ def _settle(width: int):
         np.cumsum(head[:, 3], out=offsets[1:])
         starts, ends, first = C.word_spans(data, offsets)
         words = C.word_hashes(data, starts, ends)
-        h1, h2, valid, row = _windows(words, first, width)
-        again = _again(h1, h2, valid, row, head[:, 2] - first[:-1], head[:, 0].copy(), head[:, 1].copy())
+        hashes, valid, row = _windows(words, first, width)
+        again = _again(hashes, valid, row, head[:, 2] - first[:-1], head[:, 0].copy(), head[:, 1].copy(), data, starts, ends, width)
         breaks = np.ones(len(valid), bool)
         breaks[1:] = row[1:] != row[:-1]
         f, c = _runs(again, breaks)
