@@ -19,9 +19,14 @@ from thicket.llm import minhash_dedup, packing, quality, secret_scan, substring_
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids in ``gone``; rows with a null id stay."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _key(text: str = "text"):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _without(docs: DataFrame, told: DataFrame, gone) -> DataFrame:
+    """docs without the rows that ``told`` (doc_id, text_key, ..) marks by ``gone``; rows with a null id stay."""
+    marked = told.where(gone).select(F.col("doc_id").alias("i_"), F.col("text_key").alias("k_")).distinct()
+    return docs.join(marked, (F.col("doc_id").cast("long") == F.col("i_")) & (_key() == F.col("k_")), "left_anti").select(*docs.columns)
 
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,12 +39,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the quality classifier accepts (score of at least 0.3)."""
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     scored = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out)
-    return _without(docs, scored.where("predicted = 0"))
+    return _without(docs, scored, F.col("predicted") == 0)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the least id (five-word shingles, 0.8)."""
-    return _without(docs, minhash_dedup.near_duplicates(docs).where("not kept"))
+    """One document of each near-duplicate group: that of the least id (five-word shingles, 0.8), one row of a repeated row."""
+    told = minhash_dedup.near_duplicates(docs).checkpoint()
+    again = told.where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n_")).where("n_ > 1").select(F.col("doc_id").alias("i_"), F.col("text_key").alias("k_"))
+    once = docs.join(again, (F.col("doc_id").cast("long") == F.col("i_")) & (_key() == F.col("k_"))).dropDuplicates(["i_", "k_"]).select(*docs.columns)
+    marked = told.join(again, (F.col("doc_id") == F.col("i_")) & (F.col("text_key") == F.col("k_")), "left")
+    return _without(docs, marked, ~F.col("kept") | F.col("i_").isNotNull()).unionByName(once)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +64,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
