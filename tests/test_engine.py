@@ -132,6 +132,44 @@ def _naive(d, kind):
     return out
 
 
+def _by_whole_scan(d, kind):
+    """Agglomeration by the updating formulas, the nearest pair found by looking at all."""
+    d, size, at = d.copy(), [1] * len(d), list(range(len(d)))
+    np.fill_diagonal(d, np.inf)
+    heights = []
+    for _ in range(len(d) - 1):
+        i, j = np.unravel_index(d.argmin(), d.shape)
+        h, a, b = d[i, j], size[i], size[j]
+        heights.append(h)
+        for k in range(len(d)):
+            if k in (i, j) or not np.isfinite(d[i, k]):
+                continue
+            x, y = d[i, k], d[j, k]
+            if kind == "centroid":
+                new = math.sqrt(max(0, (a * x * x + b * y * y) / (a + b) - a * b * h * h / (a + b) ** 2))
+            elif kind == "median":
+                new = math.sqrt(max(0, x * x / 2 + y * y / 2 - h * h / 4))
+            else:
+                new = (x + y) / 2
+            d[i, k] = d[k, i] = new
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += b
+    return heights
+
+
+@pytest.mark.parametrize("kind", ["centroid", "median", "mcquitty"])
+def test_linkage_by_updating(kind):
+    for seed in range(5):
+        p = np.random.default_rng(seed).normal(size=(30, 3))
+        d = np.round(np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)), 12)
+        assert np.allclose([m["height"] for m in tree.linkage(d, kind)], _by_whole_scan(d, kind), atol=1e-9)
+
+
+def test_ties_go_to_the_first_pair():
+    d = np.ones((6, 6)) - np.eye(6)
+    assert [(m["left"], m["right"]) for m in tree.linkage(d, "single")] == [(0, 1), (6, 2), (7, 3), (8, 4), (9, 5)]
+
+
 @pytest.mark.parametrize("kind", ["average", "complete", "single"])
 def test_linkage(kind):
     rng = np.random.default_rng(2)
@@ -178,14 +216,24 @@ def test_counts_do_not_depend_on_partitions(spark):
     assert all(n == 20 for c, _, n in tables[0] if c == 0)
 
 
-def test_many_units_agree_with_few(spark):
-    x = _blocks(80) + np.random.default_rng(4).normal(size=(80, 12)) * 1.2
-    v, sets = _vectors(spark, x), tree.member_sets(support.tree_of(_vectors(spark, x), LABELS), LABELS)
-    a = {(r.candidate, r.size): r["count"] for r in bootstrap.count_candidates(v, LABELS, sets, nboot=150).collect()}
-    b = {(r.candidate, r.size): r["count"] for r in bootstrap.count_candidates(v, LABELS, sets, nboot=150, sent_bytes=0).collect()}
-    assert a.keys() == b.keys()
-    assert max(abs(a[k] - b[k]) for k in a) <= 4.5 * math.sqrt(150 / 2)
-    assert all(n == 150 for (c, _), n in b.items() if c == len(sets) - 1)
+@pytest.mark.parametrize(("method", "holes", "linkage"), [("correlation", 0, "average"), ("euclidean", 3, "ward.D2"), ("uncentered", 3, "average")])
+def test_counts_are_the_same_wherever_the_matrix_lies(spark, method, holes, linkage):
+    rng = np.random.default_rng(4)
+    x = _blocks(90) + rng.normal(size=(90, 12)) * 1.2
+    x[rng.random(x.shape) < holes / 100] = np.nan
+    v = _vectors(spark, x)
+    sets = tree.member_sets(support.tree_of(v, LABELS, method, linkage), LABELS)
+    a, b = ({(r.candidate, r.size): (r["count"], r.skipped) for r in bootstrap.count_candidates(v, LABELS, sets, nboot=40, method_dist=method, method_hclust=linkage, sent_bytes=n, block=8, part_bytes=1600).collect()} for n in (1 << 20, 0))
+    assert a == b
+    assert all(n + skipped == 40 for (c, _), (n, skipped) in b.items() if c == len(sets) - 1)
+
+
+def test_draws_are_split_among_blocks():
+    n, size = 2 * bootstrap.BLOCK + 100, 5000
+    whole = bootstrap.block_draws(7, 1, 3, n, size, np.arange(3))
+    assert len(whole) == n and whole.sum() == size
+    assert np.array_equal(bootstrap.block_draws(7, 1, 3, n, size, np.arange(1, 3)), whole[bootstrap.BLOCK :])
+    assert 0.3 < whole[: bootstrap.BLOCK].sum() / size < 0.7
 
 
 def test_support_of_planted_blocks(found):
@@ -281,7 +329,8 @@ def test_association(spark):
     rows = [(f"u{i}", i % 3, f"c{i % 3}", "same", float(i % 3) + i / 1000, float(i * 7919 % 101)) for i in range(90)]
     df = spark.createDataFrame(rows, "unit_id string, cluster int, perfect string, constant string, related double, noise double")
     out = {r.variable: r for r in association.association(df.select("unit_id", "cluster"), df.drop("cluster")).collect()}
-    assert set(out) == {"perfect", "related", "noise"}
+    assert set(out) == {"perfect", "related", "noise", "constant"}
+    assert (out["constant"].test, out["constant"].reason, out["constant"].effect) == ("skipped", "constant or too few values", None)
     assert out["perfect"].effect == pytest.approx(1, abs=0.02) and out["perfect"].adjusted_rand == 1
     assert out["related"].strength == "strong" and out["noise"].p_value > 0.05
     table = association.association(df.select("unit_id", "cluster"), df.drop("cluster"))
@@ -289,6 +338,9 @@ def test_association(spark):
     assert [r.effect for r in table.collect()] == sorted((r.effect for r in table.collect()), reverse=True)
     verdict = {r.variable: r.verdict for r in association.confounding(df.select("unit_id", F.col("perfect").alias("batch")), df.select("unit_id", F.col("cluster").alias("c"), F.col("noise").alias("n"), "constant")).collect()}
     assert verdict["c"] == "complete" and verdict["constant"] == "skipped"
+    wide = df.select("unit_id", F.concat(F.lit("free text "), "unit_id").alias("words"))  # a level for each unit
+    words = association.contingency(df.select("unit_id", "cluster").join(wide, "unit_id"), "cluster", "words").first()
+    assert (words.r, words.k) == (3, 90) and words.chi2 == pytest.approx(180)
     with pytest.raises(ValueError):
         association.association(df.select("unit_id", "cluster").limit(2), df.drop("cluster"))
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rounds of shrinking at most; a batch that takes more stops the run.
+ROUNDS = 5000
+
 
 def _checked(long: DataFrame, batch: DataFrame, min_per_batch: int) -> tuple[DataFrame, list[str]]:
     """The table with a batch column, and the batches in order."""
@@ -24,22 +27,25 @@ def linear(long: DataFrame, batch: DataFrame, protect: DataFrame | None = None,
     """Values without the batches' mean shifts; with ``protect`` (unit_id, label columns), shifts beside those labels'.
 
     scale also makes batches' deviations equal.  Objects keep their means.  One batch is a
-    no-op.  Unprotected correction is two windows; protected correction solves one small
-    least-squares problem for all objects, from sums over units.
+    no-op.  Means and deviations are aggregates by object and batch, joined back; protected
+    correction solves one small least-squares problem for all objects, from sums over units.
     """
     rows, batches = _checked(long, batch, min_per_batch)
     if len(batches) < 2:
         return long
-    whole, own = Window.partitionBy("object"), Window.partitionBy("object", "batch")
     if protect is None:
-        fixed = rows.withColumn("y", F.col("value") - F.avg("value").over(own) + F.avg("value").over(whole))
+        whole = rows.groupBy("object").agg(F.avg("value").alias("mean_"))
+        own = rows.groupBy("object", "batch").agg(F.avg("value").alias("own_"))
+        fixed = rows.join(own, ["object", "batch"]).join(whole, "object").withColumn("y", F.col("value") - F.col("own_") + F.col("mean_")).drop("own_", "mean_")
     else:
         fixed = _protected(rows, batches, protect)
     if scale:
-        sd, sd_own = F.stddev_samp("y").over(whole), F.stddev_samp("y").over(own)
-        fixed = fixed.withColumn("y", F.avg("y").over(own) + (F.col("y") - F.avg("y").over(own)) * F.when(sd_own > 0, sd / sd_own).otherwise(1.0))
-    centred = fixed.withColumn("y", F.col("y") - F.avg("y").over(whole) + F.avg("value").over(whole))
-    return centred.select("unit_id", "object", F.col("y").alias("value"))
+        whole = fixed.groupBy("object").agg(F.stddev_samp("y").alias("sd_"))
+        own = fixed.groupBy("object", "batch").agg(F.stddev_samp("y").alias("sd_own_"), F.avg("y").alias("own_"))
+        factor = F.when(F.col("sd_own_") > 0, F.col("sd_") / F.col("sd_own_")).otherwise(1.0)
+        fixed = fixed.join(own, ["object", "batch"]).join(whole, "object").withColumn("y", F.col("own_") + (F.col("y") - F.col("own_")) * factor).drop("sd_", "sd_own_", "own_")
+    shift = fixed.groupBy("object").agg((F.avg("value") - F.avg(F.when(F.col("value").isNotNull(), F.col("y")))).alias("shift_"))
+    return fixed.join(shift, "object").select("unit_id", "object", (F.col("y") + F.col("shift_")).alias("value"))
 
 
 def _protected(rows: DataFrame, batches: list[str], protect: DataFrame) -> DataFrame:
@@ -93,7 +99,10 @@ def combat(long: DataFrame, batch: DataFrame, protect: DataFrame | None = None,
     if protect is not None:
         kept = _protected(rows, batches, protect)
         # what the labels explain is put back at the end
-        rows = kept.withColumn("kept", F.avg("y").over(Window.partitionBy("object", *[c for c in kept.columns if c.startswith("p_")])) - F.avg("y").over(Window.partitionBy("object")))
+        labels = [c for c in kept.columns if c.startswith("p_")]
+        by_label = kept.groupBy("object", *labels).agg(F.avg("y").alias("by_label_"))
+        by_object = kept.groupBy("object").agg(F.avg("y").alias("by_object_"))
+        rows = kept.join(by_label, ["object", *labels]).join(by_object, "object").withColumn("kept", F.col("by_label_") - F.col("by_object_"))
     else:
         rows = rows.withColumn("kept", F.lit(0.0))
     rows = rows.select("unit_id", "object", "batch", "value", "kept").withColumn("x", F.col("value") - F.col("kept"))
@@ -116,13 +125,15 @@ def combat(long: DataFrame, batch: DataFrame, protect: DataFrame | None = None,
             m, s2 = d.mean(), max(d.var(ddof=1), 1e-300)
             lam, theta = (2 * s2 + m * m) / s2, (m * s2 + m**3) / s2
             gs, ds = g, d
-            for _ in range(500):
+            for _ in range(ROUNDS):
                 ng = (t2 * n * g + ds * gbar) / (t2 * n + ds)
                 nd = (theta + ((n - 1) * d + n * (g - ng) ** 2) / 2) / (n / 2 + lam - 1)
                 off = max(np.max(np.abs(ng - gs) / np.maximum(np.abs(gs), 1e-12)), np.max(np.abs(nd - ds) / ds))
                 gs, ds = ng, nd
                 if off < tolerance:
                     break
+            else:
+                raise RuntimeError(f"batch {f['batch'].iloc[0]} did not settle in {ROUNDS} rounds")
         return pd.DataFrame({"batch": f["batch"], "object": f["object"], "gs": gs, "ds": ds})
 
     star = fits.groupBy("batch").applyInPandas(shrink, "batch string, object string, gs double, ds double")

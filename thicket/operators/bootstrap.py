@@ -1,9 +1,11 @@
 """Multiscale bootstrap counts of candidate clusters.
 
-Draws are a function of (seed, scale, replicate, draw) alone, so counts don't depend on
-partitions, retries or order.  Where the matrix is small it goes to every task and the
-replicates are dealt out; where units are many, each task weighs its own units and the
-weighted sums of a block of replicates are added up before the trees are made.
+Units are numbered by their ids and form blocks of ``BLOCK``.  A replicate's draws are
+split among the blocks by a multinomial and then drawn within each block, all as a
+function of (seed, scale, replicate, block), so counts don't depend on partitions,
+retries, order or on where the matrix lies.  Where it is small it goes to every task and
+the replicates are dealt out; where units are many, each task weighs its own blocks, and
+the weighted sums of a replicate are added up before its tree is made.
 """
 
 from __future__ import annotations
@@ -14,15 +16,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scales import effective_scales
 from ..session import checkpointed, small_frame
 from . import tree
 
-#: Bytes of a matrix that may be sent to every task; replicates handled together.
-SENT_BYTES, TOGETHER = 64 << 20, 32
+#: Bytes of a matrix that may be sent to every task; units in a block.
+SENT_BYTES, BLOCK = 64 << 20, 4096
+#: Bytes of a larger matrix for each task.
+PART_BYTES = 32 << 20
+#: Replicates handled together at most, and bytes of their sums.
+TOGETHER, TOGETHER_BYTES = 32, 64 << 20
 # Fixed values of the integer mixer; all products stay below 2**62.
 _M, _K1, _K2 = 1 << 31, 739982445, 695872825
 
@@ -46,8 +52,31 @@ def draw(key, n: int, size: int) -> np.ndarray:
     return _mix(_mix(key + np.arange(size, dtype=np.int64) * 15485863 % _M) + key) % n
 
 
+def together(p: int) -> int:
+    """Replicates of p objects handled at once: their four sums of p * p numbers, and as much again to work with."""
+    return max(1, min(TOGETHER, TOGETHER_BYTES // (64 * p * p)))
+
+
+def block_sizes(n: int, block: int = BLOCK) -> np.ndarray:
+    return np.diff(np.append(np.arange(0, n, block), n))
+
+
+def block_draws(seed: int, scale: int, rep: int, n: int, size: int, blocks: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """How often each unit of some blocks is drawn, one block after another."""
+    key, sizes = replicate_key(seed, scale, rep), block_sizes(n, block)
+    if len(sizes) == 1:
+        shares = np.array([size])
+    else:
+        shares = np.random.Generator(np.random.Philox(key=[int(key), rep])).multinomial(size, sizes / n)
+    keys = _mix(key + blocks * 32452843 % _M) if len(sizes) > 1 else [key]
+    parts = [np.bincount(draw(k, int(sizes[b]), int(shares[b])), minlength=sizes[b]) for b, k in zip(blocks.tolist(), keys, strict=True)]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
 def multiplicity_frame(spark: SparkSession, n: int, sizes: list[int], nboot: int, seed: int) -> DataFrame:
-    """(scale_idx, rep, unit, times): how often each unit is drawn, in Spark's own integer arithmetic."""
+    """(scale_idx, rep, unit, times): how often each unit of a block is drawn, in Spark's own integer arithmetic."""
+    if n > BLOCK:
+        raise ValueError(f"a block holds {BLOCK} units")
 
     def shake(v, k):
         return v.bitwiseXOR(F.shiftright(v, k))
@@ -134,26 +163,26 @@ class _Tally:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], names=["scale_idx", "candidate", "count"])
 
 
-def _by_replicate(sent, sizes, nboot, seed, method, linkage, cluster_fn):
+def _by_replicate(sent, sizes, nboot, seed, method, linkage, cluster_fn, block):
     def run(batches):
         x, keys, labels = sent.value
-        tally = _Tally(keys, linkage)
+        tally, every = _Tally(keys, linkage), np.arange(len(block_sizes(len(x), block)))
         if method == "uncentered" and cluster_fn is None:
             whole = ~np.isnan(x).any(1)
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for at in range(0, len(ids), TOGETHER):
-                own = ids[at : at + TOGETHER]
+            for at in range(0, len(ids), together(x.shape[1])):
+                own = ids[at : at + together(x.shape[1])]
                 scale, rep = own // nboot, own % nboot
-                picks = [draw(replicate_key(seed, int(s), int(r)), len(x), sizes[int(s)]) for s, r in zip(scale, rep, strict=True)]
+                times = [block_draws(seed, int(s), int(r), len(x), sizes[int(s)], every, block) for s, r in zip(scale, rep, strict=True)]
                 if cluster_fn is not None:
-                    for s, pick in zip(scale.tolist(), picks, strict=True):
-                        found = cluster_fn(x[pick])
+                    for s, n in zip(scale.tolist(), times, strict=True):
+                        found = cluster_fn(np.repeat(x, n, 0))
                         hits = [(s, -1)] if found is None else [(s, c) for f in found for c in [keys.get(frozenset(labels[k] if isinstance(k, int | np.integer) else k for k in f))] if c is not None]
                         for h in hits:
                             tally.n[h] = tally.n.get(h, 0) + 1
                     continue
-                weights = np.stack([np.bincount(p, minlength=len(x)) for p in picks]).astype(np.float64)
+                weights = np.stack(times).astype(np.float64)
                 used, rows = (weights[:, whole], x[whole]) if method == "uncentered" else (weights, x)
                 tally.add(scale, distances(weighted_stats(rows, used), np.array([sizes[int(s)] for s in scale]), method))
         yield tally.batch()
@@ -161,43 +190,47 @@ def _by_replicate(sent, sizes, nboot, seed, method, linkage, cluster_fn):
     return run
 
 
-def _by_unit(parts: list[int], sizes, nboot, seed, p, block, method):
-    """(part, place, values) to the weighted sums of each replicate of a block over a part's units.
+def _by_unit(n: int, offsets: dict[int, int], sizes, nboot: int, seed: int, p: int, method: str, block: int):
+    """Whole blocks of units, sorted, to the weighted sums of every replicate: (rep, sums), a row per task and replicate.
 
-    Every task splits a replicate's draws among the parts alike (a multinomial by the
-    replicate's own generator) and then draws its part's share.
+    offsets: the number of each partition's first unit.  A task holds its own units and
+    works on a few replicates at a time.  Sums of units without gaps travel as one number,
+    p sums, p sums of squares and p * p products.
     """
-    share = np.array(parts) / sum(parts)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # one batch holds units of one part each, marked by place
-            of, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, p)
-            if method == "uncentered":
-                keep = ~np.isnan(x).any(1)
-                of, place, x = of[keep], place[keep], x[keep]
-            for part in np.unique(of).tolist():
-                own = of == part
-                at, rows = place[own], x[own]
-                out = []
-                for first in range(*block, TOGETHER):
-                    ids = np.arange(first, min(first + TOGETHER, block[1]))
-                    weights = []
-                    for i in ids.tolist():
-                        s, r = divmod(i, nboot)
-                        n = np.random.Generator(np.random.Philox(key=[seed, i])).multinomial(sizes[s], share)[part]
-                        draws = np.random.Generator(np.random.Philox(key=[seed + 1, i * len(parts) + part])).integers(0, parts[part], n)
-                        weights.append(np.bincount(draws, minlength=parts[part])[at])
-                    sums = weighted_stats(rows, np.stack(weights).astype(np.float64)) if len(rows) else np.zeros((4, len(ids), p, p))
-                    out += [(int(i), sums[:, k].tobytes()) for k, i in enumerate(ids)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["rep", "sums"])
+        from pyspark import TaskContext
+
+        parts = [b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, p) for b in batches if b.num_rows]
+        if not parts:
+            return
+        x, first = np.concatenate(parts), offsets[TaskContext.get().partitionId()]
+        del parts
+        blocks = np.arange(first // block, -(-(first + len(x)) // block))
+        keep = ~np.isnan(x).any(1)
+        whole = bool(keep.all())
+        rows = x[keep] if method == "uncentered" else x
+        for at in range(0, len(sizes) * nboot, together(p)):
+            ids = np.arange(at, min(at + together(p), len(sizes) * nboot))
+            weights = np.stack([block_draws(seed, i // nboot, i % nboot, n, sizes[i // nboot], blocks, block) for i in ids.tolist()]).astype(np.float64)
+            sums = weighted_stats(rows, weights[:, keep] if method == "uncentered" else weights)
+            if whole or method == "uncentered":
+                flat = np.concatenate([sums[0, :, 0, :1], sums[1, :, :, 0], sums[2, :, :, 0], sums[3].reshape(len(ids), -1)], 1)
+            else:
+                flat = sums.transpose(1, 0, 2, 3).reshape(len(ids), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([f.tobytes() for f in flat], pa.binary())], names=["rep", "sums"])
 
     return run
 
 
+def _unfolded(raw: bytes, p: int) -> np.ndarray:
+    flat = np.frombuffer(raw, np.float64)
+    if len(flat) == 4 * p * p:
+        return flat.reshape(4, p, p)
+    ones = np.ones((1, p))
+    return np.stack([flat[0] * ones.T @ ones, flat[1 : p + 1, None] * ones, flat[p + 1 : 2 * p + 1, None] * ones, flat[2 * p + 1 :].reshape(p, p)])
+
+
 def _trees(keys, sizes, nboot, p, method, linkage):
     """Rows (rep, sums) sorted by rep: adds a replicate's parts, then makes its tree."""
 
@@ -211,12 +244,12 @@ def _trees(keys, sizes, nboot, p, method, linkage):
             ids.clear()
 
         for batch in batches:
-            for rep, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums = np.frombuffer(raw, np.float64).reshape(4, p, p)
+            for rep, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums = _unfolded(raw.as_py(), p)
                 if ids and ids[-1] == rep:
                     held[-1] = held[-1] + sums
                 else:
-                    if len(ids) >= TOGETHER:
+                    if len(ids) >= together(p):
                         settle()
                     ids.append(rep)
                     held.append(sums)
@@ -227,10 +260,28 @@ def _trees(keys, sizes, nboot, p, method, linkage):
     return run
 
 
-def count_candidates(vectors: DataFrame, labels: list[str], candidates: list[list[str]], nboot: int = 1000, r: list[float] | None = None, seed: int = 42, method_dist: str = "correlation", method_hclust: str = "average", cluster_fn: Callable | None = None, sent_bytes: int = SENT_BYTES) -> DataFrame:
+def _in_blocks(vectors: DataFrame, n: int, p: int, block: int, part_bytes: int) -> tuple[DataFrame, dict[int, int]]:
+    """Units in order of their ids, whole blocks to a partition, and the number of each partition's first unit.
+
+    Ranges of ids come first; a unit's number is its place in its range and the sizes of those before.
+    """
+    spark = vectors.sparkSession
+    # units in a partition, in whole blocks: few enough to hold, and all cores at work where there are blocks for them
+    per = max(1, min(part_bytes // (8 * p * block), -(-n // (block * spark.sparkContext.defaultParallelism)))) * block
+    tasks = max(1, math.ceil(n / per))
+    ranged = checkpointed(vectors.select("unit_id", "values").repartitionByRange(tasks, "unit_id").withColumn("range_", F.spark_partition_id()))
+    counts = {r["range_"]: r["count"] for r in ranged.groupBy("range_").count().collect()}  # a row per task
+    before = small_frame(spark, [(k, sum(v for j, v in counts.items() if j < k)) for k in counts], "range_ int, before long")
+    place = F.row_number().over(Window.partitionBy("range_").orderBy("unit_id")) - 1 + F.col("before")
+    numbered = ranged.join(F.broadcast(before), "range_").withColumn("place", place)
+    dealt = numbered.withColumn("task", F.floor(F.col("place") / per).cast("int")).repartitionById(tasks, "task").sortWithinPartitions("place")
+    return checkpointed(dealt.select("values")), {k: k * per for k in range(tasks)}
+
+
+def count_candidates(vectors: DataFrame, labels: list[str], candidates: list[list[str]], nboot: int = 1000, r: list[float] | None = None, seed: int = 42, method_dist: str = "correlation", method_hclust: str = "average", cluster_fn: Callable | None = None, sent_bytes: int = SENT_BYTES, block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
     """(candidate, scale_idx, size, r, nboot, count, skipped) of candidate member sets.
 
-    A replicate without a tree is skipped but stays in nboot.  ``cluster_fn`` takes a
+    Counts are the same for any ``sent_bytes``.  A replicate without a tree is skipped but stays in nboot.  ``cluster_fn`` takes a
     resampled array (units x objects) and returns member sets (of labels or column
     numbers), or None.
     """
@@ -253,17 +304,11 @@ def count_candidates(vectors: DataFrame, labels: list[str], candidates: list[lis
         if cluster_fn is not None:
             keys = {frozenset(c): k for k, c in enumerate(candidates)}
         sent = spark.sparkContext.broadcast((x, keys, labels))
-        slices = max(1, min(4 * deal, math.ceil(total / TOGETHER)))
-        counted = spark.range(0, total, 1, slices).mapInArrow(_by_replicate(sent, sizes, nboot, seed, method, method_hclust, cluster_fn), kind)
+        slices = max(1, min(4 * deal, math.ceil(total / together(p))))
+        counted = spark.range(0, total, 1, slices).mapInArrow(_by_replicate(sent, sizes, nboot, seed, method, method_hclust, cluster_fn, block), kind)
     else:
-        parts_n = max(1, math.ceil(n * p * 8 / (16 << 20)))
-        numbered = vectors.select("unit_id", "values", F.pmod(F.xxhash64("unit_id"), F.lit(parts_n)).cast("int").alias("part"))
-        from pyspark.sql import Window
-
-        placed = checkpointed(numbered.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("unit_id")) - 1).select("part", "place", "values"))
-        found = {row["part"]: row["count"] for row in placed.groupBy("part").count().collect()}
-        parts = [found.get(k, 0) for k in range(parts_n)]
-        sums = placed.mapInArrow(_by_unit(parts, sizes, nboot, seed, p, (0, total), method), "rep long, sums binary")
+        placed, offsets = _in_blocks(vectors, n, p, block, part_bytes)
+        sums = placed.mapInArrow(_by_unit(n, offsets, sizes, nboot, seed, p, method, block), "rep long, sums binary")
         counted = sums.repartition("rep").sortWithinPartitions("rep").mapInArrow(_trees(keys, sizes, nboot, p, method, method_hclust), kind)
     # few rows that took long to make: later reads must not draw again
     counts = checkpointed(counted.groupBy("scale_idx", "candidate").agg(F.sum("count").alias("count")))

@@ -11,7 +11,8 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATS = ("n_rows", "n", "s", "q", "g")
@@ -126,15 +127,23 @@ def minkowski(long: DataFrame, p: float) -> DataFrame:
     return grid.join(sums, ["obj_i", "obj_j"], "left").crossJoin(total).select("obj_i", "obj_j", F.when(F.col("obj_i") == F.col("obj_j"), 0.0).otherwise(d).alias("d"))
 
 
+#: Objects that a matrix on the driver may have (a double each pair: 0.8 GB).
+MOST_OBJECTS = 10_000
+
+
 def matrix(table: DataFrame, labels: list[str], value: str = "d") -> np.ndarray:
     """A table of object pairs as an array (p * p values, which a tree holds anyway); NULL is NaN."""
-    at = {x: k for k, x in enumerate(labels)}
+    if len(labels) > MOST_OBJECTS:
+        raise ValueError(f"{len(labels)} objects are more than a tree is made of here ({MOST_OBJECTS})")
+    at = pa.array(labels)
     out = np.full((len(labels), len(labels)), np.nan)
-    for r in table.select("obj_i", "obj_j", value).collect():
-        out[at[r[0]], at[r[1]]] = np.nan if r[2] is None else r[2]
+    rows = table.select(F.col("obj_i"), F.col("obj_j"), F.col(value).cast("double")).toArrow()
+    i, j = (pc.index_in(rows.column(k).combine_chunks(), at).to_numpy() for k in (0, 1))
+    out[i, j] = rows.column(2).to_numpy()
     return out
 
 
 def centred(long: DataFrame, by: list[str]) -> DataFrame:
     """Values less the mean of their object within each of ``by``."""
-    return long.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy("object", *by)))
+    means = long.groupBy("object", *by).agg(F.avg("value").alias("mean_"))
+    return long.join(means, ["object", *by]).withColumn("value", F.col("value") - F.col("mean_")).drop("mean_")

@@ -1,7 +1,9 @@
 """Hierarchical clustering kernels, batched over many distance matrices.
 
 All replicates of a batch make their t-th merge together, so a merge costs a few
-array operations whatever the number of replicates.  Members are 64-bit words.
+array operations whatever the number of replicates.  Each object keeps its nearest other,
+which a merge changes for few, so a tree takes about the square of its objects' number.
+Members are 64-bit words.
 Ties go to the pair whose lower position is least, then whose upper one is.
 """
 
@@ -61,24 +63,35 @@ def batch_linkage(d: np.ndarray, method: str = "average") -> tuple[np.ndarray, n
     bits = np.zeros((b, p, words), np.uint64)
     bits[:, at, at // 64] = np.uint64(1) << (at % 64).astype(np.uint64)
     merges, heights, members = np.zeros((b, p - 1, 2), np.int64), np.zeros((b, p - 1)), np.zeros((b, p - 1, words), np.uint64)
+    near = d.argmin(2)
+    least = np.take_along_axis(d, near[:, :, None], 2)[:, :, 0]
+    alive = np.ones((b, p), bool)
     for t in range(p - 1):
-        flat = d.reshape(b, -1).argmin(1)
-        i, j = flat // p, flat % p
-        dij = d[rows, i, j]
+        i = least.argmin(1)  # the first row that holds the least, so its partner comes after it
+        j, dij = near[rows, i], least[rows, i]
         di, dj = d[rows, i], d[rows, j]
         with np.errstate(invalid="ignore"):
             new = _merged(kind, di, dj, dij[:, None], size[rows, i][:, None], size[rows, j][:, None], size)
         new[~np.isfinite(di) | ~np.isfinite(dj)] = np.inf
+        new[~alive] = np.inf
+        new[rows, i] = new[rows, j] = np.inf
         d[rows, i] = new
-        d[rows, :, i] = new
-        d[rows, i, i] = np.inf
-        d[rows, j] = np.inf
-        d[rows, :, j] = np.inf
+        d[rows, :, i] = new  # what is left of j's row and column is not looked at again
         merges[:, t, 0], merges[:, t, 1], heights[:, t] = node[rows, i], node[rows, j], dij
         bits[rows, i] |= bits[rows, j]
         members[:, t] = bits[rows, i]
         size[rows, i] += size[rows, j]
         node[rows, i] = p + t
+        alive[rows, j] = False
+        closer = (new < least) | ((new == least) & (i[:, None] < near))
+        stale = ((near == i[:, None]) | (near == j[:, None])) & ~closer
+        least, near = np.where(closer, new, least), np.where(closer, i[:, None], near)
+        stale[rows, i] = True
+        least[rows, j] = np.inf
+        r, c = np.nonzero(stale & alive)
+        part = np.where(alive[r], d[r, c], np.inf)
+        near[r, c] = part.argmin(1)
+        least[r, c] = part[np.arange(len(r)), near[r, c]]
     return merges, heights, members
 
 
@@ -168,6 +181,23 @@ def rotated(tree: list[dict], strength: list[float]) -> list[dict]:
     return [m | {"left": m["right"], "right": m["left"]} if of(m["right"]) > of(m["left"]) else m for m in tree]
 
 
+def drawn(tree: list[dict], labels: list[str], edges: DataFrame, alpha: float = 0.95, use: str = "au", sort_by: str | None = None) -> DataFrame:
+    """(edge_id, x, y, x_left, x_right, au, bp, picked): the layout with its clusters' support.
+
+    picked: whether the cluster is one that selection takes at ``alpha``.  sort_by: a
+    support column whose strongest subtrees are drawn on the left.
+    """
+    from ..plans.support import pick
+
+    spark = edges.sparkSession
+    if sort_by:
+        of = {r["edge_id"]: r["strength"] for r in subtree_support(edges, sort_by).collect()}  # a row per cluster
+        tree = rotated(tree, [of[edge_id_of(s)] for s in member_sets(tree, labels)])
+    places = small_frame(spark, [tuple(x.values()) for x in layout(tree, labels)], "edge_id string, x double, y double, x_left double, x_right double")
+    taken = pick(edges, alpha, use).select("edge_id", F.lit(True).alias("picked"))
+    return places.join(edges.select("edge_id", "au", "bp"), "edge_id").join(taken, "edge_id", "left").withColumn("picked", F.coalesce("picked", F.lit(False)))
+
+
 def layout(tree: list[dict], labels: list[str]) -> list[dict]:
     """Where each merge is drawn: x midway between its children (leaves at 5, 15, ..), y its height."""
     p = len(labels)

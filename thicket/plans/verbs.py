@@ -94,9 +94,11 @@ def diagnose(long: DataFrame, annotations: DataFrame, batch_like: list[str] | No
     return workflows.diagnose(long, annotations, names, k, nboot)
 
 
-def two_way_layout(long: DataFrame, method_dist: str = "euclidean", method_hclust: str = LINKAGE) -> DataFrame:
-    """The z-scored matrix with rows and columns in the order of their trees."""
+def two_way_layout(long: DataFrame, method_dist: str = "euclidean", method_hclust: str = LINKAGE, max_rows: int | None = None, seed: int = 42) -> DataFrame:
+    """The z-scored matrix with rows and columns in the order of their trees; of ``max_rows`` units, drawn by the seed, if there are more."""
     spark = long.sparkSession
+    if max_rows is not None:
+        long = blocks.sampled_units(long, max_rows, seed)
 
     def order(table: DataFrame, name: str, place: str) -> DataFrame:
         vectors, labels = M.long_to_vectors(table)
@@ -110,6 +112,46 @@ def release_profiles(long: DataFrame, assignment: DataFrame, project: str, min_c
     return profiles.release(long, assignment, project, min_cluster, annotations)
 
 
+def cluster_and_release(long: DataFrame, project: str, alpha: float = 0.95, min_cluster: int = 10, annotations: DataFrame | None = None, nboot: int = 1000, method_dist: str = DISTANCE, method_hclust: str = LINKAGE, seed: int = 42) -> dict[str, DataFrame]:
+    """Units clustered, the supported clusters picked, and what they release.
+
+    Beside ``release_profiles``' tables: assignment (unit_id, cluster), which stays at home,
+    and unassigned (unit_id), the units in no picked cluster, which aren't released.
+    """
+    found = support_tree(long, nboot, "rows", method_dist, method_hclust, seed)
+    picked = [r["members"] for r in support.pick(found.edges, alpha).collect()]  # clusters of one tree
+    if not picked:
+        raise ValueError(f"no cluster of units has support of {alpha}: nothing to release")
+    assignment = small_frame(long.sparkSession, [(u, k) for k, own in enumerate(picked) for u in own], "unit_id string, cluster int")
+    inside = long.join(assignment, "unit_id", "left_semi")
+    out = release_profiles(inside, assignment, project, min_cluster, annotations)
+    return out | {"assignment": assignment, "unassigned": long.select("unit_id").distinct().join(assignment, "unit_id", "left_anti")}
+
+
+def aggregate(labels: list[str], parts: list[DataFrame] | None = None, counts: list[DataFrame] | None = None, method_dist: str = DISTANCE, method_hclust: str = LINKAGE, alpha: float = 0.95) -> dict[str, DataFrame]:
+    """Projects' statistics, counts or both, for the objects in ``labels``: distance and catalogue, edges and consensus."""
+    if not parts and not counts:
+        raise ValueError("give statistics, counts or both")
+    labels, out, known = M.check_labels(labels), {}, None
+    if parts:
+        for k, part in enumerate(parts, 1):
+            own = sorted(r[0] for r in part.select("obj_i").distinct().limit(len(labels) + 1).collect())
+            if own != sorted(labels):
+                raise ValueError(f"statistics {k} are not of the objects in labels")
+        d, _, known = federate.federated_tree(parts, labels, method_dist, method_hclust)
+        out |= {"distance": d, "catalogue": known}
+    if counts:
+        pooled = federate.pool_counts(federate.union(counts))
+        if known is None:
+            both = federate.union([c.select("edge_id", "members") for c in counts if "members" in c.columns]) if any("members" in c.columns for c in counts) else None
+            if both is None:
+                raise ValueError("counts without statistics need their members")
+            known = both.dropDuplicates(["edge_id"]).withColumn("n_members", F.size("members"))
+        edges = federate.federated_support(pooled, known)
+        out |= {"edges": edges, "consensus": federate.consensus(edges, alpha)}
+    return out
+
+
 def match_profiles(released: DataFrame, nboot: int = 1000, alpha: float = 0.95, seed: int = 42) -> dict[str, DataFrame]:
     """Profiles (profile_id, project, feature, mean) of two projects or more, centred and clustered together.
 

@@ -31,7 +31,7 @@ def apply_back(vectors: DataFrame, labels: list[str], federated: DataFrame, alph
     """What pooled clusters (edge_id, members, au) are worth in one project.
 
     support: edge_id, members, au_federated, au_local, bp_local, se_au_local, in_solo_tree, gain;
-    agreement: a row of measures; modules, scores; solo: the project's own tree; local_tree_with_federated_support.
+    agreement: a row of measures, among them how many modules there are, how many objects lie in one, and how many dimensions scores have; modules, scores; solo: the project's own tree; local_tree_with_federated_support.
     """
     spark = vectors.sparkSession
     usable = federated.where(F.size(F.array_except("members", F.array(*[F.lit(x) for x in labels]))) == 0)
@@ -51,9 +51,10 @@ def apply_back(vectors: DataFrame, labels: list[str], federated: DataFrame, alph
     same = association.contingency(cut.join(smallest, "object"), "solo", "fed").select("adjusted_rand")
     found = table.agg(F.count("*").alias("evaluated"), F.count_if("in_solo_tree").alias("recovered"), F.avg(F.col("in_solo_tree").cast("double")).alias("fraction"), F.count_if(F.col("au_local") >= alpha).alias("n_local"), F.count_if(F.col("au_federated") >= alpha).alias("n_federated"), F.percentile("gain", F.lit(0.5)).alias("median_gain"))
     groups = modules(usable, labels, alpha)
+    sizes = groups.groupBy("module").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_modules"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_grouped"), F.count("*").alias("n_dimensions"))
     long = vectors.select("unit_id", F.posexplode("values").alias("at", "value")).select("unit_id", F.array(*[F.lit(x) for x in labels])[F.col("at")].alias("object"), "value")
     tree_with = solo.edges.select("edge_id", "members", "n_members", "height", "merge_order").join(usable.select("edge_id", F.col("au").alias("au_federated")), "edge_id", "left")
-    return {"support": table, "agreement": found.crossJoin(same), "modules": groups, "scores": module_scores(long, groups), "solo": solo, "local_tree_with_federated_support": tree_with}
+    return {"support": table, "agreement": found.crossJoin(same).crossJoin(sizes), "modules": groups, "scores": module_scores(long, groups), "solo": solo, "local_tree_with_federated_support": tree_with}
 
 
 def cluster_labels(result: support.SupportTree, k: int | None = None, alpha: float = 0.95) -> DataFrame:

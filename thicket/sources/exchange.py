@@ -22,6 +22,12 @@ def write_counts(counts: DataFrame, project: str, n: int, path: str) -> None:
     counts.select(F.lit(project).alias("project"), "edge_id", "r", F.lit(n).alias("n"), "nboot", "count").write.csv(path, header=True)
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Any result table (support, agreement, scores, modules, similarity, replication) as CSV; arrays are joined by ';'."""
+    flat = [F.array_join(c, ";").alias(c) if t.startswith("array<") else F.col(c) for c, t in df.dtypes]
+    df.select(*flat).write.csv(path, header=True)
+
+
 def write_stats(stats: DataFrame, path: str) -> None:
     stats.write.parquet(path)
 

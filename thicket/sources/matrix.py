@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Objects that the vector form may have.
+MOST_OBJECTS = 10_000
 _BOM = "﻿"
 
 
@@ -58,7 +60,10 @@ def orient(long: DataFrame, axis: str) -> DataFrame:
 
 def long_to_vectors(long: DataFrame) -> tuple[DataFrame, list[str]]:
     """Vector form of a long table and its sorted object labels (which must be few enough for a tree)."""
-    labels = check_labels([r[0] for r in long.select("object").distinct().orderBy("object").collect()])
+    found = [r[0] for r in long.select("object").distinct().limit(MOST_OBJECTS + 1).collect()]
+    if len(found) > MOST_OBJECTS:
+        raise ValueError(f"more than {MOST_OBJECTS} objects are too many for a tree")
+    labels = check_labels(sorted(found))
     wide = long.groupBy("unit_id").pivot("object", labels).agg(F.first("value"))
     return wide.select("unit_id", F.array(*[F.col(f"`{x}`") for x in labels]).alias("values")), labels
 
@@ -101,10 +106,9 @@ def log2(long: DataFrame) -> DataFrame:
 def zscore(long: DataFrame, keep_null: bool = False) -> DataFrame:
     """Each object's values centred and divided by their sample deviation; missing values and objects
     without spread become 0 unless ``keep_null``."""
-    w = Window.partitionBy("object")
-    sd = F.stddev_samp("value").over(w)
-    z = F.when(sd > 0, (F.col("value") - F.avg("value").over(w)) / sd)
-    return long.withColumn("value", z if keep_null else F.coalesce(z, F.lit(0.0)))
+    own = long.groupBy("object").agg(F.avg("value").alias("mean_"), F.stddev_samp("value").alias("sd_"))
+    z = F.when(F.col("sd_") > 0, (F.col("value") - F.col("mean_")) / F.col("sd_"))
+    return long.join(own, "object").withColumn("value", z if keep_null else F.coalesce(z, F.lit(0.0))).select(*long.columns)
 
 
 def top_variable(long: DataFrame, n: int) -> DataFrame:
@@ -129,10 +133,14 @@ def vocabulary(long: DataFrame, project: str) -> DataFrame:
 
 def read_positional(spark: SparkSession, values: str, samples: str, reagents: str, sample_id: str = "SampleId", reagent_id: str = "SeqId", label: str | None = None, sample_type: str | None = "Sample", take_log2: bool = False) -> DataFrame:
     """A headerless tab-separated value table whose i-th row is the i-th sample and whose j-th column is the
-    j-th reagent.  Line order is kept by reading each file as numbered lines."""
+    j-th reagent.  Lines are numbered by their place in the file: by file blocks, and within each."""
 
     def numbered(path, header):
-        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where("line <> ''")
+        raw = spark.read.text(path).select("value", F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("mid"))
+        blocks = raw.groupBy("block").agg(F.count("*").alias("n"))  # a row per file block
+        before = blocks.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
+        own = F.row_number().over(Window.partitionBy("block").orderBy("mid")) - 1
+        lines = raw.withColumn("own", own).join(F.broadcast(before), "block").select((F.col("before") + F.col("own")).cast("int").alias("at"), F.regexp_replace("value", "\r$", "").alias("line")).where("line <> ''")
         cells = lines.select("at", F.split("line", "\t").alias("cells"))
         if not header:
             return cells, None
