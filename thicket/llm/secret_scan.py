@@ -90,7 +90,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = F.col("ord") < len(BASE)
     w = Window.partitionBy("rid").orderBy("start", "ord")
     reach = F.max(F.when(base, F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.min(F.when(base, F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("ord"))  # a frame up to the partition's end would be gone over for every row
+    ahead = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.coalesce(reach <= F.col("start"), F.lit(True)) & F.coalesce(ahead >= F.col("end"), F.lit(True))
     kept = marked.withColumn("apart", apart).where(base | (F.col("live") & F.col("apart")))
     kept = kept.withColumn("after", F.coalesce(F.max("to").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
