@@ -22,10 +22,9 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_of_hex(digest: Column) -> Column:
-    """Bare base32 of a 40-digit hex column: five hex digits are four base32 digits."""
-    part = lambda i: F.conv(F.substr(digest, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
-    digit = lambda i: F.substr(F.lit(_ALPHABET), F.pmod(F.floor(part(i) / F.pow(F.lit(2), 15 - 5 * F.pmod(i, F.lit(4)))), F.lit(32)).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), digit), "")
+    """Bare base32 of a 40-digit hex column: 15 hex digits are 12 digits to the base of 32."""
+    parts = [F.lpad(F.conv(F.substring(digest, at, n), 16, 32), n * 4 // 5, "0") for at, n in ((1, 15), (16, 15), (31, 10))]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _ALPHABET)
 
 
 def one_line(url: Column) -> Column:
@@ -73,7 +72,7 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str | N
     least = keys.groupBy("sha256").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).checkpoint()
     # only the first page of each digest sends its payload
     firsts = whole.join(least.select(F.col("first_id").alias("page_id"), F.col("sha256").alias("wanted")), "page_id")
-    payloads = firsts.withColumn("sha256", F.sha2("payload", 256)).where("sha256 = wanted").dropDuplicates(["sha256"])
+    payloads = firsts.withColumn("sha256", F.sha2("payload", 256)).where("sha256 = wanted").dropDuplicates(["page_id", "sha256"])  # one for each digest, where the join has left them
     payloads.select("sha256", F.octet_length("payload").cast("long").alias("size"), "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     own = C.spread_join(keys, least.drop("n"), ["sha256"], C.hot_keys(least, ["sha256"], "n"), ["page_id"]).withColumn("digest", base32_of_hex(F.col("sha1")))
     is_revisit = (F.col("page_id") != F.col("first_id")) & (F.col("size") >= min_revisit_bytes)
