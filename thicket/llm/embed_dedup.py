@@ -23,7 +23,7 @@ from .components import components
 
 #: Neighbours in a list, projection trees, rounds at most, vectors in a block.
 NEIGHBOURS, TREES, ROUNDS, BLOCK = 8, 8, 3, 64
-#: Vectors whose id this divides are audited, and so many of groups of like size; mean recall of a vector
+#: Vectors whose id this divides are audited, and about so many of groups of like size; mean recall of a vector
 #: asked for in each size; attempts (each doubles lists and trees).
 AUDIT_EVERY, AUDITED, RECALL, ATTEMPTS = 100, 128, 0.995, 3
 #: Vectors of a group compared at once.
@@ -310,9 +310,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         groups = components(links, "u", "v").checkpoint()
         size = groups.groupBy("component").agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("stratum"))
         placed = nodes.join(groups, "node", "left").withColumn("group_", F.coalesce("component", "node")).join(size, "component", "left").withColumn("stratum", F.coalesce("stratum", F.lit(0)))
-        nth = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64("node", F.lit(3)), "node"))
-        also = placed.select("node", "stratum").withColumn("nth", nth).where(F.col("nth") <= AUDITED).select("node", F.lit(1).alias("also"))
-        asked = placed.join(also, "node", "left").where((F.col("asked") == 1) | (F.col("also") == 1)).select("node", "label", "group_", "v", "stratum").checkpoint()
+        held = placed.groupBy("stratum").agg(F.count("*").alias("n_"))  # a row for each power of two
+        drawn = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 31)) * F.col("n_") <= AUDITED * float(1 << 31)
+        asked = placed.join(F.broadcast(held), "stratum").where((F.col("asked") == 1) | drawn).select("node", "label", "group_", "v", "stratum").checkpoint()
         each = recall(asked.drop("stratum"), placed.select("node", "label", "group_", "v"), threshold).where("links > 0")
         by_size = each.join(asked, "node").groupBy("stratum").agg(F.avg(F.col("found") / F.col("links")).alias("recall"), F.count("*").alias("n"))
         told["recall"], told["audited"] = by_size.agg(F.min("recall"), F.coalesce(F.sum("n"), F.lit(0))).first()
