@@ -335,7 +335,8 @@ def test_association(spark):
     assert out["related"].strength == "strong" and out["noise"].p_value > 0.05
     table = association.association(df.select("unit_id", "cluster"), df.drop("cluster"))
     assert "perfect" in association.report(table, ["perfect"], 3)
-    assert [r.effect for r in table.collect()] == sorted((r.effect for r in table.collect()), reverse=True)
+    effects = [r.effect for r in table.collect()]
+    assert effects[:-1] == sorted(effects[:-1], reverse=True) and effects[-1] is None
     verdict = {r.variable: r.verdict for r in association.confounding(df.select("unit_id", F.col("perfect").alias("batch")), df.select("unit_id", F.col("cluster").alias("c"), F.col("noise").alias("n"), "constant")).collect()}
     assert verdict["c"] == "complete" and verdict["constant"] == "skipped"
     wide = df.select("unit_id", F.concat(F.lit("free text "), "unit_id").alias("words"))  # a level for each unit
@@ -462,3 +463,91 @@ def test_verbs_end_to_end(spark):
         verbs.prepare(long, shared=vocab, top_variable=2)
     with pytest.raises(ValueError):
         verbs.match_profiles(spark.createDataFrame([("P:c1", "P", "f", 1.0)], "profile_id string, project string, feature string, mean double"))
+
+
+# Proportions over the ten scales 0.5 .. 1.4 and the published fits at 1000 replicates
+# (si, au, bp, se_si, se_au, se_bp, v, c, df, rss, pchi).
+PUBLISHED = {
+    "strong": ([0.6, 0.66, 0.72, 0.78, 0.84, 0.88, 0.91, 0.94, 0.96, 0.975], (0.99569567955018, 0.999312891405593, 0.88649018629048, 0.00122702103643841, 0.000242715723642567, 0.00375477370740495, -2.20404207795348, 0.995970230352338, 8, 23.0502587920813, 0.00330031555449848)),
+    "weak": ([0.3, 0.33, 0.36, 0.39, 0.42, 0.45, 0.48, 0.51, 0.54, 0.57], (0.619173491743868, 0.910147877915832, 0.461290817370459, 0.0356185103823959, 0.0127646374814312, 0.00519838746819662, -0.622241967241361, 0.719424253789858, 8, 5.66316399075104, 0.684903465711035)),
+    "midlow": ([0.05, 0.07, 0.09, 0.12, 0.15, 0.18, 0.22, 0.26, 0.3, 0.35], (0.850913421843113, 0.992560505710517, 0.19590841346734, 0.0266273614393998, 0.00210444743826803, 0.00415926758581784, -0.789491987434984, 1.64581917514029, 8, 11.3841784185313, 0.180866592182312)),
+    "near_one": ([0.9, 0.93, 0.95, 0.965, 0.978, 0.985, 0.99, 0.994, 0.996, 0.998], (0.995983747702356, 0.998627503750357, 0.985351889587926, 0.0020888238480988, 0.000825907836594145, 0.00150331171187279, -2.5872084741447, 0.407731061278447, 8, 1.69475343478516, 0.988983349580946)),
+    "exactly_three": ([0, 0, 0, 0, 0, 0, 0, 0.3, 0.4, 0.6], (1, 1, 0.067529781088095, 0, 0, 0.01325408633261, -4.35120533026412, 5.84564950742003, 1, 7.23240527863107, 0.00715992153854163)),
+    "mixed_edges": ([0, 0.001, 0.01, 0.2, 0.5, 0.8, 0.95, 0.999, 1, 1], (1, 1, 0.806461844769262, 0, 0, 0.00810084468958218, -8.48178607292558, 7.61685443327984, 3, 11.5765917526012, 0.00898369971664282)),
+}
+
+
+def test_fits_agree_with_published_values(spark):
+    rows = [(name, (k + 5) / 10, 1000, round(1000 * p)) for name, (ps, _) in PUBLISHED.items() for k, p in enumerate(ps)]
+    out = {r.edge_id: r for r in msfit.fit(spark.createDataFrame(rows, "edge_id string, r double, nboot int, count int")).collect()}
+    for name, (_, want) in PUBLISHED.items():
+        got = [out[name][c] for c in ("si", "au", "bp", "se_si", "se_au", "se_bp", "v", "c", "df", "rss", "pchi")]
+        assert got == pytest.approx(want, rel=1e-8, abs=1e-10), name
+
+
+def test_empirical_bayes_by_plain_iteration(spark):
+    x, _, batch, names, long, notes = _shifted(spark, 60, 8)
+    got = _wide(adjust.combat(long, notes.select("unit_id", "batch")), names)
+    n = np.array([(batch == b).sum() for b in (0, 1)])
+    mb = np.stack([x[batch == b].mean(0) for b in (0, 1)])
+    alpha = (mb * n[:, None]).sum(0) / n.sum()
+    sigma = np.sqrt(sum(((x[batch == b] - mb[b]) ** 2).sum(0) for b in (0, 1)) / n.sum())
+    z, want = (x - alpha) / sigma, np.zeros_like(x)
+    for b in (0, 1):
+        own = z[batch == b]
+        g, d = own.mean(0), own.var(0, ddof=1)
+        gbar, t2, m, s2 = g.mean(), g.var(ddof=1), d.mean(), d.var(ddof=1)
+        lam, theta = (2 * s2 + m * m) / s2, (m * s2 + m**3) / s2
+        gs, ds = g, d
+        for _ in range(3000):
+            gs = (t2 * n[b] * g + ds * gbar) / (t2 * n[b] + ds)
+            ds = (theta + ((own - gs) ** 2).sum(0) / 2) / (n[b] / 2 + lam - 1)
+        want[batch == b] = sigma * (own - gs) / np.sqrt(ds) + alpha
+    assert np.allclose(got, want, atol=1e-2)
+
+
+def test_layouts_with_support(spark, found):
+    drawn = {r.edge_id: r for r in tree.drawn(found.linkage, LABELS, found.edges, sort_by="au").collect()}
+    assert len(drawn) == 11 and {e for e, r in drawn.items() if r.picked} == {r.edge_id for r in support.pick(found.edges).collect()}
+    weak = [0.1 * (k % 3) for k in range(11)]
+    turned = tree.rotated(found.linkage, weak)
+    of = lambda x: -np.inf if x < 12 else weak[x - 12]
+    assert all(of(m["left"]) >= of(m["right"]) for m in turned) and turned != found.linkage
+    assert {frozenset(s) for s in tree.member_sets(turned, LABELS)} == {frozenset(s) for s in tree.member_sets(found.linkage, LABELS)}
+
+
+def test_order_within_blocks_and_quantiles(spark, vectors):
+    long = vectors.select("unit_id", F.posexplode("values").alias("k", "value")).select("unit_id", F.array(*map(F.lit, LABELS))[F.col("k")].alias("object"), "value")
+    b = spark.createDataFrame([(x, "small" if k < 2 else "large") for k, x in enumerate(LABELS)], "object string, block string")
+    placed = [(r.block, r.object) for r in blocks.block_order(long, b).orderBy("place").collect()]
+    assert [p for p, _ in placed] == ["large"] * 10 + ["small"] * 2 and sorted(o for _, o in placed) == LABELS
+    values = np.random.default_rng(9).integers(0, 50, 333).astype(float)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
+    for q in (0.0, 0.5, 0.99, 1.0):
+        assert blocks.quantile(df, "v", q).first()[0] == pytest.approx(np.quantile(values, q))
+    few = blocks.sampled_units(long, 7)
+    assert few.select("unit_id").distinct().count() == 7 and few.count() == 84
+    assert {r.unit_id for r in few.collect()} == {r.unit_id for r in blocks.sampled_units(long.repartition(9), 7).collect()}
+
+
+def test_clustered_units_release_profiles(spark):
+    from thicket.plans import verbs
+
+    rng = np.random.default_rng(1)
+    kinds = rng.normal(size=(2, 40)) * 2
+    x = kinds[np.repeat([0, 1], 15)] + 0.4 * rng.normal(size=(30, 40))
+    names = [f"f{k}" for k in range(40)]
+    long = _long(spark, x, names)
+    with pytest.warns(UserWarning):
+        out = verbs.cluster_and_release(long, "P", min_cluster=10, nboot=50)
+    assert out["profiles"].count() == 80 and out["unassigned"].count() + out["assignment"].count() == 30
+    halves = [long.where("unit_id < 'u015'"), long.where("unit_id >= 'u015'")]
+    parts = [verbs.sufficient_stats(h, min_n=10) for h in halves]
+    known = verbs.aggregate(names, parts)["catalogue"]
+    counts = [verbs.count_candidates(h, f"P{k}", known, 5) for k, h in enumerate(halves)]
+    both = verbs.aggregate(names, parts, counts)
+    assert set(both) == {"distance", "catalogue", "edges", "consensus"} and both["edges"].count() == 39
+    with pytest.raises(ValueError, match="labels"):
+        verbs.aggregate(names[:-1], parts)
+    with pytest.raises(ValueError):
+        verbs.aggregate(names)
