@@ -128,6 +128,40 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeated_windows(empty).collect() == []
 
 
+def _windows_removed(texts, width=20):
+    """{id: (words removed, words left)} of {id: text}, by a set of all windows."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        w = WORD.findall(texts[i])
+        gone = [False] * len(w)
+        for k in range(len(w) - width + 1):
+            key = tuple(w[k : k + width])
+            if key in seen:
+                gone[k : k + width] = [True] * width
+            seen.add(key)
+        out[i] = sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+    return out
+
+
+@pytest.mark.parametrize("part_keys", [1, 7, 40, 1 << 18])
+def test_substring_dedup_in_parts(spark, part_keys):
+    """A passage in all blocks, others in some, one that repeats within its text, and a row repeated in full."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    shared = [[f"p{n}_{k}" for k in range(size)] for n, size in enumerate((35, 20, 21, 60, 19))]
+    texts = {}
+    for i in range(160):
+        words = [f"d{i}_{k}" for k in range(rng.integers(0, 50))]
+        for n in (0, *rng.choice(len(shared), 2)):
+            cut = rng.integers(0, len(words) + 1)
+            words[cut:cut] = shared[n] if n != 3 else shared[n][rng.integers(0, 30) :]
+        texts[i] = " ".join(words) + (" tail" * 45 if i % 40 == 0 else "")
+    rows = [*texts.items(), (3, texts[3]), (159, texts[159])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "text")
+    out = substring_dedup.remove_repeated_windows(docs, part_keys=part_keys).collect()
+    assert len(out) == len(rows)
+    assert {r.doc_id: (r.n_removed, r.kept_text) for r in out} == _windows_removed(texts)
+
+
 def test_substring_dedup_of_long_texts(spark, tmp_path):
     """A batch's bytes count the other columns too; blocks must not depend on which columns are read."""
     word = "array_join(transform(sequence(1, {n}), x -> concat('w', conv(pmod(xxhash64({seed}, x), 1099511627776L), 10, 36))), ' ')"

@@ -7,7 +7,8 @@ super-k-mer as one packed string of words, to the minimiser's bucket.  A bucket
 its windows by a hash of their words, compares the words of those with equal hashes byte
 by byte, and keeps the earliest of each.  Windows that repeat within a block are settled
 there, so a passage that very many documents share travels once per block, not once per
-document; a minimiser that very many blocks share is dealt by its windows' own hashes.
+document.  A bucket that very many super-k-mers ask for, as where all blocks share a
+minimiser, is settled in parts of bounded size; the earliest of each part's windows then meet.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from . import common as C
 BLOCK_BYTES = 1 << 20
 #: Compressed bytes of blocks for each bucket.
 BUCKET_BYTES = 2 << 20
+#: Super-k-mers of a bucket that are held together; a bucket of more is settled in parts.
+PART_KEYS = 1 << 18
 
 
 def _least_over(values: np.ndarray, span: int) -> np.ndarray:
@@ -153,37 +156,45 @@ def _ask(width: int, gram: int, buckets: int):
     return run
 
 
-def _answer(batches):
-    """Streams rows of one bucket after another; a bucket's hashes are held together."""
+def _answer(most: int):
+    """Streams rows of one bucket after another; about ``most`` of a bucket's hashes are held together.
 
-    def bucketful(held):
+    A bucket of more is dealt in parts numbered from 1, all of whose super-k-mers travel: a hash met once in its
+    part may be in another.  Other buckets are part 0.
+    """
+
+    def answered(held, part):
         hashes = [np.frombuffer(h, np.uint64) for _, _, h in held]
         flat = np.concatenate(hashes)
-        order = np.argsort(flat, kind="stable")
-        same = flat[order][1:] == flat[order][:-1]
-        more = np.zeros(len(flat), bool)
-        more[order[1:][same]] = True
-        more[order[:-1][same]] = True
-        at = 0
+        more = np.full(len(flat), part > 0)
+        if not part:
+            order = np.argsort(flat, kind="stable")
+            same = flat[order][1:] == flat[order][:-1]
+            more[order[1:][same]] = True
+            more[order[:-1][same]] = True
+        at, rows = 0, []
         for (bucket, block, _), h in zip(held, hashes, strict=True):
             own = more[at : at + len(h)]
             at += len(h)
             if own.any():
-                yield block, bucket, np.packbits(own).tobytes()
+                rows.append((block, bucket, part, np.packbits(own).tobytes()))
+        return _rows(rows, block=pa.binary(), bucket=pa.int32(), part=pa.int32(), more=pa.binary())
 
-    def out(held):
-        rows = list(bucketful(held))
-        return _rows(rows, block=pa.binary(), bucket=pa.int32(), more=pa.binary())
+    def run(batches):
+        held, size, part = [], 0, 0
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if held and (held[0][0] != row[0] or size >= most):
+                    part += part > 0 or held[0][0] == row[0]
+                    yield answered(held, part)
+                    part = part if held[0][0] == row[0] else 0
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[2]) // 8
+        if held:
+            yield answered(held, part + (part > 0))
 
-    held = []
-    for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if held and held[0][0] != row[0]:
-                yield out(held)
-                held = []
-            held.append(row)
-    if held:
-        yield out(held)
+    return run
 
 
 def _squeezed(batches):
@@ -201,6 +212,10 @@ def _opened(blob: bytes | None) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(blob)))
 
 
+def _packed(head: bytes, text: bytes) -> bytes:
+    return zstandard.compress(np.int64(len(head)).tobytes() + head + text, 1)
+
+
 def _pack(width: int, gram: int, buckets: int):
     """(block, blob, answers) to settled windows and the super-k-mers that may repeat elsewhere."""
 
@@ -214,30 +229,36 @@ def _pack(width: int, gram: int, buckets: int):
                 f, c = block.settled
                 if len(f):
                     r = block.row[f]
-                    out.append((0, name, None, np.stack([r, f - block.first[r], c], 1).astype(np.int32).tobytes()))
-                more = {a["bucket"]: a["more"] for a in answers or []}
+                    out.append((0, 0, name, None, np.stack([r, f - block.first[r], c], 1).astype(np.int32).tobytes()))
+                more = {a["bucket"]: (a["part"], a["more"]) for a in answers or []}
                 text, begin = C.spaced(data, block.starts, block.ends)
                 text = text.tobytes()
                 for b, lo, hi in block.each_bucket():
                     if b in more:
-                        own = lo + np.flatnonzero(np.unpackbits(np.frombuffer(more[b], np.uint8), count=hi - lo))
+                        part_of, bits = more[b]
+                        own = lo + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo))
                         at = block.at[own]
                         r = block.row[at]
                         x, y = begin[at], begin[at + block.count[own] + width - 1]
                         head = np.stack([block.ids[r], block.keys[r], at - block.first[r], y - x, r], 1).astype(np.int64).tobytes()
                         packed = b"".join([text[a:b] for a, b in zip(x.tolist(), y.tolist(), strict=True)])
-                        out.append((b, name, zstandard.compress(np.int64(len(head)).tobytes() + head + packed, 1), None))
-                yield _rows(out, bucket=pa.int32(), block=pa.binary(), blob=pa.binary(), settled=pa.binary())
+                        out.append((b, part_of, name, _packed(head, packed), None))
+                yield _rows(out, bucket=pa.int32(), part=pa.int32(), block=pa.binary(), blob=pa.binary(), settled=pa.binary())
 
     return run
 
 
+#: Covers of a block, and what goes from a bucket's part to the bucket.
+SETTLED = "block binary, covers binary, bucket int, blob binary"
+
+
 def _settle(width: int):
-    """Rows in order of buckets to (block, covers): covers are (row, first window, windows) of 32-bit integers."""
+    """Rows in order of buckets and parts to (block, covers, bucket, blob): covers are (row, first window, windows)
+    of 32-bit integers; a blob holds the windows that repeat nothing in their part, for the bucket."""
 
-    def bucketful(held):
+    def settled(held, part):
         heads, texts, of = [], [], []
-        for k, (_, blob) in enumerate(held):
+        for k, (_, _, blob) in enumerate(held):
             raw = zstandard.decompress(blob)
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             heads.append(np.frombuffer(raw, np.int64, n // 8, 8).reshape(-1, 5))
@@ -252,28 +273,44 @@ def _settle(width: int):
         again = _again(hashes, valid, row, head[:, 2] - first[:-1], head[:, 0].copy(), head[:, 1].copy(), data, starts, ends, width)
         breaks = np.ones(len(valid), bool)
         breaks[1:] = row[1:] != row[:-1]
-        f, c = _runs(again, breaks)
+
+        def by_block(keep):
+            f, c = _runs(keep, breaks)
+            edge = np.searchsorted(of[row[f]], np.arange(len(held) + 1)).tolist()
+            return f, c, [(bucket, name, a, b) for (bucket, name, _), a, b in zip(held, edge[:-1], edge[1:], strict=True) if b > a]
+
+        f, c, found = by_block(again)
         r = row[f]
         cover = np.stack([head[r, 4], head[r, 2] + f - first[r], c], 1).astype(np.int32)
-        edge = np.searchsorted(of[r], np.arange(len(held) + 1))
-        return [(held[k][0], cover[a:b].tobytes()) for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if b > a]
+        out = [(name, cover[a:b].tobytes(), None, None) for _, name, a, b in found]
+        if part:
+            f, c, found = by_block(valid & ~again)
+            r = row[f]
+            x, y = starts[f], ends[f + c + width - 2] + 1  # each word has a space after it
+            own = np.stack([head[r, 0], head[r, 1], head[r, 2] + f - first[r], y - x, head[r, 4]], 1).astype(np.int64)
+            text = data.tobytes()
+            out += [(name, None, bucket, _packed(own[a:b].tobytes(), b"".join(text[m:n] for m, n in zip(x[a:b].tolist(), y[a:b].tolist(), strict=True)))) for bucket, name, a, b in found]
+        return out
+
+    def rows(found):
+        return _rows(found, block=pa.binary(), covers=pa.binary(), bucket=pa.int32(), blob=pa.binary())
 
     def run(batches):
         now, held = None, []
         for batch in batches:
             done = []
-            for bucket, block, blob, settled in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for bucket, part, block, blob, covers in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if blob is None:
-                    done.append((block, settled))
+                    done.append((block, covers, None, None))
                     continue
-                if bucket != now and held:
-                    yield _rows(bucketful(held), block=pa.binary(), covers=pa.binary())
+                if (bucket, part) != now and held:
+                    yield rows(settled(held, now[1]))
                     held = []
-                now = bucket
-                held.append((block, blob))
-            yield _rows(done, block=pa.binary(), covers=pa.binary())
+                now = bucket, part
+                held.append((bucket, block, blob))
+            yield rows(done)
         if held:
-            yield _rows(bucketful(held), block=pa.binary(), covers=pa.binary())
+            yield rows(settled(held, now[1]))
 
     return run
 
@@ -308,7 +345,7 @@ def _remove(width: int):
     return run
 
 
-def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, gram: int = 4) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, gram: int = 4, part_keys: int = PART_KEYS) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the words left, joined by one space).
 
     A word ``[^\\x20\\x09-\\x0D]+`` goes if a window of ``width`` words that covers it also
@@ -318,7 +355,8 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     same document and doesn't count against itself; different texts under one id are
     ordered by a hash of the text.  Input columns named like an output column are
     replaced; an empty table gives an empty result.  The input is read once: it is cut into
-    blocks, which are checkpointed, and all later steps work on these.
+    blocks, which are checkpointed, and all later steps work on these.  A bucket that over
+    ``part_keys`` super-k-mers ask for is settled in parts; results don't depend on it.
     """
     spark = docs.sparkSession
     C.prepare(spark)
@@ -330,11 +368,15 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     blocks = whole.mapInArrow(_squeezed, "block binary, blob binary").checkpoint()
     buckets, deal = max(-(-(blocks.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // BUCKET_BYTES), C.slots(spark)), C.slots(spark)
     asked = blocks.mapInArrow(_ask(width, gram, buckets), "bucket int, block binary, hashes binary")
-    answers = asked.repartitionById(deal, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "block binary, bucket int, more binary")
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "more")).alias("answers"))
-    sent = blocks.join(answers, "block", "full").select("block", "blob", "answers").mapInArrow(_pack(width, gram, buckets), "bucket int, block binary, blob binary, settled binary")
-    found = sent.repartitionById(deal, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(width), "block binary, covers binary")
-    covers = found.groupBy("block").agg(F.collect_list("covers").alias("covers"))
+    answers = asked.repartitionById(deal, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(part_keys), "block binary, bucket int, part int, more binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "part", "more")).alias("answers"))
+    sent = blocks.join(answers, "block", "full").select("block", "blob", "answers").mapInArrow(_pack(width, gram, buckets), "bucket int, part int, block binary, blob binary, settled binary")
+    place = F.pmod(F.col("bucket") + F.col("part"), F.lit(deal)).cast("int")
+    found = sent.repartitionById(deal, place).sortWithinPartitions("bucket", "part").mapInArrow(_settle(width), SETTLED).checkpoint()
+    left = found.where("blob is not null").select("bucket", F.lit(0).alias("part"), "block", "blob", F.lit(None).cast("binary").alias("settled"))
+    last = left.repartitionById(deal, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(width), SETTLED)
+    told = found.where("covers is not null").unionByName(last)
+    covers = told.groupBy("block").agg(F.collect_list("covers").alias("covers"))
     ddl = C.schema_of(whole, "id", "text", "rest") + ", n_words long, n_removed long, kept_text string"
     done = blocks.join(covers, "block", "full").select("blob", "covers").mapInArrow(_remove(width), ddl)
     return done.select(*[F.col("id").cast(docs.schema[c].dataType).alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], *outputs)
