@@ -273,3 +273,14 @@ def test_frames_that_change_are_checkpointed(spark, tmp_path):
         assert C.rereadable(df) is not df
     out = bpe.encode_and_decode(plain.withColumn("text", F.concat("text", F.rand().cast("string"))), P.path("byte_bpe_multi_50k.tiktoken")).collect()
     assert len(out) == 46 and all(bytes(r.decoded).startswith(b"t") for r in out)
+
+
+def test_checkpoint_by_key_is_not_shuffled_again(spark):
+    C.prepare(spark)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    made = C.checkpoint_by(spark.range(100).select(F.col("id").cast("string").alias("block"), "id"), "block")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+    some = spark.range(0, 100, 3).select(F.col("id").cast("string").alias("block")).groupBy("block").agg(F.count("*").alias("n"))
+    joined = made.join(some.hint("merge"), "block", "full")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert joined.where("n is not null").count() == 34 and joined.count() == 100

@@ -282,6 +282,20 @@ def rereadable(df: DataFrame) -> DataFrame:
     return df if same and plan.children().size() == 0 and "Relation" in plan.nodeName() else df.checkpoint()
 
 
+def checkpoint_by(df: DataFrame, key: str) -> DataFrame:
+    """A checkpoint that joins and groups by ``key`` use without another shuffle.
+
+    Adaptive plans don't tell a checkpoint how its rows are dealt, so they are off while it is made.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(slots(spark), key).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def with_rest(df: DataFrame, *named: str, rest: str = "rest"):
     """Carries all columns but ``named`` in one struct, so their names can't clash: (frame's column, names)."""
     from pyspark.sql import functions as F

@@ -355,7 +355,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     same document and doesn't count against itself; different texts under one id are
     ordered by a hash of the text.  Input columns named like an output column are
     replaced; an empty table gives an empty result.  The input is read once: it is cut into
-    blocks, which are checkpointed, and all later steps work on these.  A bucket that over
+    blocks, which are checkpointed by name, so that both joins leave them in place.  A bucket that over
     ``part_keys`` super-k-mers ask for is settled in parts; results don't depend on it.
     """
     spark = docs.sparkSession
@@ -365,7 +365,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     rest, _ = C.with_rest(docs, id_col, text_col)
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     whole = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("tkey"), F.col(text_col).alias("text"), rest)
-    blocks = whole.mapInArrow(_squeezed, "block binary, blob binary").checkpoint()
+    blocks = C.checkpoint_by(whole.mapInArrow(_squeezed, "block binary, blob binary"), "block")
     buckets, deal = max(-(-(blocks.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // BUCKET_BYTES), C.slots(spark)), C.slots(spark)
     asked = blocks.mapInArrow(_ask(width, gram, buckets), "bucket int, block binary, hashes binary")
     answers = asked.repartitionById(deal, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(part_keys), "block binary, bucket int, part int, more binary")
