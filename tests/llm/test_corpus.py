@@ -162,6 +162,26 @@ def test_substring_dedup_in_parts(spark, part_keys):
     assert {r.doc_id: (r.n_removed, r.kept_text) for r in out} == _windows_removed(texts)
 
 
+@pytest.mark.parametrize("part_keys", [1, 1 << 18])
+def test_substring_dedup_checkpoints_only_its_blocks(spark, part_keys):
+    """An executor starts a command for each file that it writes to a local checkpoint folder."""
+    from thicket.llm import common as C
+
+    C.prepare(spark)
+    texts = {i: " ".join([f"d{i}", *(f"p{k}" for k in range(25)), f"e{i}"]) for i in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(10, "doc_id")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def folders():
+        return {x.getPath().getName() for x in fs.listStatus(at)} if fs.exists(at) else set()
+
+    before = folders()
+    out = substring_dedup.remove_repeated_windows(docs, part_keys=part_keys).collect()
+    assert len(folders() - before) == 1
+    assert {r.doc_id: (r.n_removed, r.kept_text) for r in out} == _windows_removed(texts)
+
+
 def test_substring_dedup_of_long_texts(spark, tmp_path):
     """A batch's bytes count the other columns too; blocks must not depend on which columns are read."""
     word = "array_join(transform(sequence(1, {n}), x -> concat('w', conv(pmod(xxhash64({seed}, x), 1099511627776L), 10, 36))), ' ')"

@@ -372,10 +372,11 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "part", "more")).alias("answers"))
     sent = blocks.join(answers, "block", "full").select("block", "blob", "answers").mapInArrow(_pack(width, gram, buckets), "bucket int, part int, block binary, blob binary, settled binary")
     place = F.pmod(F.col("bucket") + F.col("part"), F.lit(deal)).cast("int")
-    found = sent.repartitionById(deal, place).sortWithinPartitions("bucket", "part").mapInArrow(_settle(width), SETTLED).checkpoint()
-    left = found.where("blob is not null").select("bucket", F.lit(0).alias("part"), "block", "blob", F.lit(None).cast("binary").alias("settled"))
-    last = left.repartitionById(deal, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(width), SETTLED)
-    told = found.where("covers is not null").unionByName(last)
+    found = sent.repartitionById(deal, place).sortWithinPartitions("bucket", "part").mapInArrow(_settle(width), SETTLED)
+    found = found.select("bucket", F.lit(0).alias("part"), "block", "blob", F.col("covers").alias("settled"))
+    # Covers go along unchanged, so that what is found is read once and needs no checkpoint.
+    place = F.pmod(F.coalesce("bucket", F.hash("block")), F.lit(deal)).cast("int")
+    told = found.repartitionById(deal, place).sortWithinPartitions("bucket").mapInArrow(_settle(width), SETTLED)
     covers = told.groupBy("block").agg(F.collect_list("covers").alias("covers"))
     ddl = C.schema_of(whole, "id", "text", "rest") + ", n_words long, n_removed long, kept_text string"
     done = blocks.join(covers, "block", "full").select("blob", "covers").mapInArrow(_remove(width), ddl)
