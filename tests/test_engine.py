@@ -207,6 +207,16 @@ def test_draws_match_between_engines(spark):
     assert {(x.scale_idx, x.rep, x.unit): x.times for x in rows} == want
 
 
+def test_draws_match_between_engines_beyond_a_block(spark):
+    n = 2 * bootstrap.BLOCK + 100
+    rows = bootstrap.multiplicity_frame(spark, n, [30, 60], 5, 42).collect()
+    want = {(s, r, int(u)): int(t[u]) for s, size in ((0, 30), (1, 60)) for r in range(5) for t in [bootstrap.block_draws(42, s, r, n, size, np.arange(1), n)] for u in np.flatnonzero(t)}
+    assert {(x.scale_idx, x.rep, x.unit): x.times for x in rows} == want
+    assert max(u for _, _, u in want) >= bootstrap.BLOCK
+    with pytest.raises(ValueError, match="reach"):
+        bootstrap.multiplicity_frame(spark, (1 << 31) + 1, [30], 1, 42)
+
+
 def test_counts_do_not_depend_on_partitions(spark):
     x, tables = _blocks(40), []
     for parts in (1, 4, 17):
