@@ -1,10 +1,13 @@
 """The cluster-support engine: formulas, invariants, refusals and round trips."""
 
 import math
+import tracemalloc
 import warnings
 from statistics import NormalDist
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -246,6 +249,46 @@ def test_draws_are_split_among_blocks():
     assert 0.3 < whole[: bootstrap.BLOCK].sum() / size < 0.7
 
 
+def _peak(f):
+    """What a call gives, and the most bytes it holds at once."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_draws_of_a_sent_matrix_are_weighed_by_the_block():
+    n, p = 40_000, 16
+    x = np.random.default_rng(0).normal(size=(n, p))
+    labels = [f"o{k:02d}" for k in range(p)]
+    sent = SimpleNamespace(value=(x, bootstrap.bit_keys([labels], labels), labels))
+    run = bootstrap._by_replicate(sent, [n // 2, n], 16, 7, "correlation", "average", None, bootstrap.BLOCK)
+    ids = pa.RecordBatch.from_arrays([pa.array(range(32))], names=["id"])
+    (batch,), most = _peak(lambda: list(run([ids])))
+    assert sorted(map(tuple, (r.values() for r in batch.to_pylist()))) == [(0, 0, 16), (1, 0, 16)]
+    assert most < 64 << 20
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_weighted_sums_do_not_depend_on_the_rows_taken_together(monkeypatch, gaps):
+    rng = np.random.default_rng(3)
+    x, n = rng.normal(size=(1000, 5)), 1000
+    if gaps:
+        x[rng.random(x.shape) < 0.1] = np.nan
+    scales, reps = [0, 1, 1], [4, 0, 9]
+    weights = np.stack([bootstrap.block_draws(7, s, r, n, [500, 900][s], np.arange(8), 128) for s, r in zip(scales, reps, strict=True)])
+    seen = ~np.isnan(x)
+    z = np.where(seen, x, 0.0)
+    want = np.array([[(a * w[:, None]).T @ b for w in weights] for a, b in ((seen, seen), (z, seen), (z * z, seen), (z, z))])
+    monkeypatch.setattr(bootstrap, "WORK_BYTES", 8 * 3 * 5 * 50)
+    assert np.allclose(bootstrap.drawn_stats(x, 0, n, 7, scales, reps, [500, 900], False, 128), want, atol=1e-9)
+    parts = [bootstrap.drawn_stats(x[a:b], a, n, 7, scales, reps, [500, 900], False, 128) for a, b in ((0, 384), (384, 1000))]
+    assert np.allclose(parts[0] + parts[1], want, atol=1e-9)
+    keep = seen.all(1)
+    assert np.allclose(bootstrap.drawn_stats(x, 0, n, 7, scales, reps, [500, 900], True, 128)[3], np.array([(x[keep] * w[keep, None]).T @ x[keep] for w in weights]), atol=1e-9)
+
+
 def test_support_of_planted_blocks(found):
     picked = {tuple(r.members) for r in support.pick(found.edges).collect()}
     assert {tuple(LABELS[k : k + 4]) for k in (0, 4, 8)} <= picked | {tuple(r.members) for r in found.edges.where("au >= 0.95").collect()}
