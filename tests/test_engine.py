@@ -354,6 +354,26 @@ def _wide(long, names):
     return np.array([[got[u, o] for o in names] for u in units])
 
 
+def test_adjusted_rows_of_one_object_do_not_meet_in_one_task(spark, monkeypatch):
+    _, _, _, names, long, notes = _shifted(spark, p=1)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    makers = [lambda: adjust.linear(long, notes), lambda: adjust.linear(long, notes, notes.select("unit_id", "grp"), scale=True), lambda: adjust.combat(long, notes, notes.select("unit_id", "grp"))]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for made in makers:
+            out = made()
+            most = out.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+            assert out.count() == 200 and most < 100
+            monkeypatch.setattr(adjust, "SENT_ROWS", 0)
+            assert np.allclose(_wide(out, names), _wide(made(), names), atol=1e-9)
+            monkeypatch.undo()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_adjustment(spark):
     x, group, batch, names, long, notes = _shifted(spark)
     y = _wide(adjust.linear(long, notes.select("unit_id", "batch"), notes.select("unit_id", "grp")), names)
