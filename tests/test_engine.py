@@ -270,6 +270,19 @@ def test_draws_of_a_sent_matrix_are_weighed_by_the_block():
     assert most < 64 << 20
 
 
+def test_draws_of_many_units_are_weighed_by_the_block(monkeypatch):
+    n, p = 200_000, 4
+    x = np.random.default_rng(0).normal(size=(n, p))
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 1))
+    first = 25 * bootstrap.BLOCK
+    run = bootstrap._by_unit(first + n, {0: 0, 1: first}, [first + n], 32, 7, p, "correlation", bootstrap.BLOCK)
+    values = pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), p)], names=["values"])
+    (batch,), most = _peak(lambda: list(run([values])))
+    times = bootstrap.block_draws(7, 0, 5, first + n, first + n, np.arange(25, 25 + -(-n // bootstrap.BLOCK)))
+    assert np.allclose(bootstrap._unfolded(batch.column(1)[5].as_py(), p)[3], (x * times[:, None]).T @ x, atol=1e-6)
+    assert most < 64 << 20
+
+
 @pytest.mark.parametrize("gaps", [False, True])
 def test_weighted_sums_do_not_depend_on_the_rows_taken_together(monkeypatch, gaps):
     rng = np.random.default_rng(3)
